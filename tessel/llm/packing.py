@@ -18,6 +18,7 @@ occur; no documents give no pieces; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,32 +34,70 @@ CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkIds(dict):
-    """Chunks between blanks to their ids as little-endian unsigned 32-bit bytes.
+#: Chunks made of these alone are cut as the vocabulary's own pattern cuts them.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+_ALL_PLAIN = re.compile("(?:[A-Za-zÀ-ÖØ-öø-ÿ0-9]|[!-&(-/:-@\\[-`{-~])+")
 
-    The tokenizer drops white space and no token or special string holds any,
-    so a text's ids are its chunks' ids one after another.
-    """
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
-        from tokenizers import Tokenizer
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next letter from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self[b""] = b""
 
-    def __missing__(self, chunk: bytes) -> bytes:
+class _Lately(dict):
+    """A dictionary that keeps about the last ``most`` entries, in two generations."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-            self[b""] = b""
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        got = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = got
+        self[key] = got
         return got
 
+
+class ChunkIds:
+    """Ids of texts as little-endian unsigned 32-bit bytes, chunk by chunk.
+
+    The tokenizer drops white space and no token or special string holds any,
+    so a text's ids are its chunks' ids one after another. A chunk of Latin
+    letters, digits and marks is cut into words here and its words go straight
+    to the merge model; any other chunk goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 250_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.words = _Lately(self.word, most)
+        self.chunks = _Lately(self.chunk, most)
+
+    def word(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+
+    def chunk(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if text.isascii() and text.isalpha():
+            return self.words[text.lower()]
+        if not text:
+            return b""
+        if "<|" not in text and _ALL_PLAIN.fullmatch(text):
+            return b"".join(map(self.words.__getitem__, _PLAIN.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, raw: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, raw.replace(b"\n", b" ").split(b" ")))
+        return b"".join(map(self.chunks.__getitem__, raw.replace(b"\n", b" ").split(b" ")))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
