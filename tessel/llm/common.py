@@ -67,12 +67,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a frame's bytes; it runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def bucket_count(df: DataFrame, bytes_each: int, least: int = 12) -> int:
     """How many buckets keep each under about ``bytes_each`` of the input."""
-    return int(min(1 << 15, max(least, plan_bytes(df) // bytes_each + 1)))
+    return max(least, plan_bytes(df) // bytes_each + 1)
 
 
 def text_bytes(name: str = "text") -> F.Column:
