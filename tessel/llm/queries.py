@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quality, substrings
+from . import disclosure, packing, pieces, quality, secrets, substrings
 from .common import prepare, read
+from .spans import count_of, ordered, written
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +26,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms near it that reveal it."""
+    prepare(spark)
+    out = disclosure.protect(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        *[count_of(F.col("base"), k).alias(f"n_{k}") for k in disclosure.BASE],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(ordered(F.col("base"), F.col("terms"))).alias("spans"),
+    )
+
+
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by content-addressed scans."""
+    prepare(spark)
+    out, _ = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.base_of(F.col("found"))
+    return out.select(
+        "doc_id",
+        *[count_of(F.col("found"), k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("found")).alias("spans"),
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     prepare(spark)
@@ -54,6 +80,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_disclosure": op3_disclosure,
+    "op4_secret_ledger": op4_secret_ledger,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
