@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, packing, pieces, quality, secrets, substrings
+from . import disclosure, jaccard, packing, pieces, quality, secrets, substrings
 from .common import prepare, read
 from .spans import count_of, ordered, written
 
@@ -51,6 +51,13 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of shingles and the component it falls in."""
+    prepare(spark)
+    out, _ = jaccard.similar_groups(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     prepare(spark)
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_disclosure": op3_disclosure,
     "op4_secret_ledger": op4_secret_ledger,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
