@@ -106,3 +106,24 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+#: A side of at most this many bytes as Parquet is sent to all executors; a larger one is shuffled.
+BROADCAST_BYTES = 2 << 20
+
+#: Ways in which a key's rows are spread where the other side is shuffled.
+SALTS = 16
+
+
+def sized_join(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """Left join on ``key`` with a stored side that has one row per key.
+
+    The stored side's size is looked up: a small one is broadcast, a larger one
+    is repeated for each salt, so that a key with a third of all rows is spread
+    by a hash of the ``spread`` columns.
+    """
+    if plan_bytes(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), key, "left")
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    each = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, [key, "__salt"], "left").drop("__salt")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, jaccard, packing, pieces, quality, secrets, substrings
+from . import disclosure, jaccard, language, neighbours, packing, pieces, quality, secrets, substrings
 from .common import prepare, read
 from .spans import count_of, ordered, written
 
@@ -26,6 +26,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: text, declared language and source as host."""
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"))
+    return language.identify(rows).withColumnRenamed("id", "doc_id")
+
+
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and the terms near it that reveal it."""
     prepare(spark)
@@ -58,6 +66,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    prepare(spark)
+    rows = read(spark, sf_dir, "embeddings")
+    out, _ = neighbours.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+    return out
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     prepare(spark)
@@ -87,9 +103,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
     "op3_disclosure": op3_disclosure,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_learned_partitions": op7_learned_partitions,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
