@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, jaccard, language, neighbours, packing, pieces, quality, secrets, substrings
+from . import disclosure, extraction, jaccard, language, neighbours, packing, pieces, quality, secrets, substrings
 from .common import prepare, read
 from .spans import count_of, ordered, written
 
@@ -66,6 +66,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    prepare(spark)
+    out = extraction.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
     prepare(spark)
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_disclosure": op3_disclosure,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_template_extraction": op6_template_extraction,
     "op7_learned_partitions": op7_learned_partitions,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -248,14 +248,17 @@ def _zipped(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("__id"), text_bytes().alias("__zip")).mapInArrow(run, schema)
 
 
-def _cut(columns: list[str], window: int):
+def _cut(columns: list[str], window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts, longs, gone = [], [], []
+            texts, longs, gone, whole = [], [], [], []
             for marks, packed in zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True):
-                words = unzip.decompress(packed).split()
+                raw = unzip.decompress(packed)
+                words = raw.split()
                 n = len(words)
+                if keep_text:
+                    whole.append(raw)
                 if marks:
                     edge = np.zeros(n + 1, np.int32)
                     at = np.unique(np.frombuffer(b"".join(marks), np.uint32)).astype(np.int64)
@@ -267,13 +270,14 @@ def _cut(columns: list[str], window: int):
                 longs.append(n)
                 gone.append(n - len(words))
             kept = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], kept, pa.array(longs, pa.int64()), pa.array(gone, pa.int64())], [*columns, "kept_text", "n_words", "n_removed"])
+            texts = [pa.array(whole, pa.binary()).cast(pa.string())] * keep_text
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *texts, kept, pa.array(longs, pa.int64()), pa.array(gone, pa.int64())], [*columns, *["text"] * keep_text, "kept_text", "n_words", "n_removed"])
 
     return run
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without ``text``, with ``kept_text``, ``n_words`` and ``n_removed``.
+def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``kept_text``, ``n_words`` and ``n_removed``, and with ``text`` if it is to be kept.
 
     Every word that a window covers whose word sequence also starts in a
     document with a smaller doc_id is removed; kept words are joined by one
@@ -292,5 +296,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = asked.mapInArrow(_send_windows(n, window), EXCHANGE).groupBy("bucket").applyInArrow(_meet_windows, MARKS)
     found = found.groupBy("doc_id").agg(F.collect_list("marks").alias("__marks")).withColumnRenamed("doc_id", "__doc")
     whole = _zipped(docs, columns).join(found, F.col("__id") == F.col("__doc"), "left")
-    schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return whole.select(*[F.col(f"`{c}`") for c in columns], "__marks", "__zip").mapInArrow(_cut(columns, window), schema)
+    schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema
+    if keep_text:
+        schema = schema.add("text", "string")
+    schema = schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
+    return whole.select(*[F.col(f"`{c}`") for c in columns], "__marks", "__zip").mapInArrow(_cut(columns, window, keep_text), schema)
