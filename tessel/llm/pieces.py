@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare
 
@@ -246,7 +247,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     """``docs`` with the ids of ``text`` (end id included) in place of it; null as empty."""
     prepare(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, out)]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model_path)
