@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes
+from .common import prepare, stored, text_bytes
 
 CAPACITY = 4096
 
@@ -172,6 +172,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` rows with sequence_id and offset."""
     spark = found.sparkSession
     prepare(spark)
+    found = stored(found)  # the range sort samples its input first, which would tokenise twice
     order = [F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("piece")]
     # checkpoint() fixes the partitions, so that ranks counted in one job hold in the next
     ranged = found.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
