@@ -323,8 +323,12 @@ def _bfs(seed: str, k: int, direction: str = "out", where: str = "depth > 0") ->
       best AS (SELECT node, min(depth) AS depth FROM w GROUP BY node) SELECT '{seed}' AS seed, node, depth FROM best WHERE {where}"""
 
 
+def _lookup(spark, sf_dir):
+    return lambda heads, tails: star_triples(spark, sf_dir, heads, tails)
+
+
 def _khop(seed, k, direction):
-    return lambda spark, sf_dir: hops.khop(star_triples(spark, sf_dir), neighbors.seeds(spark, [seed]), k, direction)
+    return lambda spark, sf_dir: hops.khop(star_triples(spark, sf_dir), neighbors.seeds(spark, [seed]), k, direction, _lookup(spark, sf_dir))
 
 
 for _name, _seed, _k, _way in (("khop2_out", CUSTOMER, 2, "out"), ("khop3_out", CUSTOMER, 3, "out"), ("khop2_in", SUPPLIER, 2, "in"), ("khop2_both", CUSTOMER, 2, "both")):
@@ -339,12 +343,12 @@ def khop_recursive_sql(spark, sf_dir):
 
 @query(_bfs(CUSTOMER, 2, where="depth = 2"))
 def hop_exact2(spark, sf_dir):
-    return hops.exact_hops(star_triples(spark, sf_dir), neighbors.seeds(spark, [CUSTOMER]), 2)
+    return hops.exact_hops(star_triples(spark, sf_dir), neighbors.seeds(spark, [CUSTOMER]), 2, lookup=_lookup(spark, sf_dir))
 
 
 @query(_bfs(CUSTOMER, 3, where="depth = 3"))
 def hop_exact3(spark, sf_dir):
-    found, _ = hops.counted_hops(star_triples(spark, sf_dir), neighbors.seeds(spark, [CUSTOMER]), 3)
+    found, _ = hops.counted_hops(star_triples(spark, sf_dir), neighbors.seeds(spark, [CUSTOMER]), 3, _lookup(spark, sf_dir))
     return found
 
 

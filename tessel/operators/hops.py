@@ -7,22 +7,36 @@ run on the driver over plan handles alone; deep walks are cut by checkpoints.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import ensure_checkpoints
 from .neighbors import check_direction
 
-#: Hops after which a plan is cut by a checkpoint.
-CUT_EVERY = 2
+#: A frontier of up to this many rows is looked up by key; one of up to BROADCAST rows is sent to the scans; a larger one is shuffled.
+LOOKUP, BROADCAST = 1000, 100_000
+
+#: Restricted triples: those with one of the heads, or with one of the tails.
+Lookup = Callable[[list[str] | None, list[str] | None], DataFrame]
 
 
 def steps(triples: DataFrame, direction: str = "out") -> DataFrame:
-    """(src, dst), distinct, as walked in the direction."""
+    """(src, dst) as walked in the direction."""
     check_direction(direction)
     out = triples.select(F.col("head").alias("src"), F.col("tail").alias("dst"))
     into = triples.select(F.col("tail").alias("src"), F.col("head").alias("dst"))
-    return (out if direction == "out" else into if direction == "in" else out.union(into)).distinct()
+    return out if direction == "out" else into if direction == "in" else out.union(into)
+
+
+def _steps_from(lookup: Lookup, ids: list[str], direction: str) -> DataFrame:
+    parts = []
+    if direction != "in":
+        parts.append(steps(lookup(ids, None), "out"))
+    if direction != "out":
+        parts.append(steps(lookup(None, ids), "in"))
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
 def _check_k(k: int) -> None:
@@ -30,30 +44,43 @@ def _check_k(k: int) -> None:
         raise ValueError("k must be a whole number of at least 1")
 
 
-def khop(triples: DataFrame, seed_rows: DataFrame, k: int, direction: str = "out") -> DataFrame:
-    """(seed, node, depth): each node within k hops once, at its least depth, without the seed."""
+def khop(triples: DataFrame, seed_rows: DataFrame, k: int, direction: str = "out", lookup: Lookup | None = None) -> DataFrame:
+    """(seed, node, depth): each node within k hops once, at its least depth, without the seed.
+
+    While a frontier is small its ids go into the scan's filter by ``lookup``;
+    a larger one is broadcast up to a checked size, and then joined by shuffle.
+    Edges are never shuffled for a small frontier.
+    """
     _check_k(k)
-    edge = steps(triples, direction)
+    check_direction(direction)
+    spark = triples.sparkSession
+    pairs = "seed string, node string"
     frontier = seed_rows.select("seed", F.col("seed").alias("node")).distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
+    seen, found = frontier, spark.createDataFrame([], pairs + ", depth int")
     for h in range(1, k + 1):
-        near = frontier.join(edge, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        fresh = near.join(seen, ["seed", "node"], "left_anti")
-        if h % CUT_EVERY == 0 and h < k:
-            ensure_checkpoints(triples.sparkSession)
-            fresh = fresh.checkpoint()
-            if fresh.isEmpty():
-                break
-        seen = seen.unionByName(fresh.withColumn("depth", F.lit(h)))
-        if h % CUT_EVERY == 0 and h < k:
-            seen = seen.checkpoint()
-        frontier = fresh
-    return seen.where("depth > 0")
-
-
-def exact_hops(triples: DataFrame, seed_rows: DataFrame, k: int, direction: str = "out") -> DataFrame:
+        top = frontier.limit(LOOKUP + 1).collect()
+        if not top:
+            return found
+        small = len(top) <= LOOKUP
+        if small:  # known rows instead of the plan that made them
+            frontier = spark.createDataFrame([tuple(r) for r in top], pairs)
+            side = F.broadcast(frontier)
+        else:
+            ensure_checkpoints(spark)
+            frontier = frontier.checkpoint()
+            side = F.broadcast(frontier) if frontier.count() <= BROADCAST else frontier
+        if h > 1:
+            found = found.unionByName(frontier.withColumn("depth", F.lit(h - 1)))
+            seen = seen.unionByName(frontier)
+        edge = _steps_from(lookup, sorted({r["node"] for r in top}), direction) if small and lookup else steps(triples, direction)
+        near = edge.join(side, F.col("src") == F.col("node")).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = near.join(seen, ["seed", "node"], "left_anti")
+    return found.unionByName(frontier.withColumn("depth", F.lit(k)))
+
+
+def exact_hops(triples: DataFrame, seed_rows: DataFrame, k: int, direction: str = "out", lookup: Lookup | None = None) -> DataFrame:
     """Nodes at distance k, not nearer."""
-    return khop(triples, seed_rows, k, direction).where(F.col("depth") == k)
+    return khop(triples, seed_rows, k, direction, lookup).where(F.col("depth") == k)
 
 
 def layered(edges: DataFrame, seed: str, k: int) -> DataFrame:
@@ -110,9 +137,9 @@ def trails(edges: DataFrame, seed_rows: DataFrame, least: int, most: int, direct
     return out.distinct()
 
 
-def counted_hops(triples: DataFrame, seed_rows: DataFrame, n: int) -> tuple[DataFrame, dict[str, int]]:
+def counted_hops(triples: DataFrame, seed_rows: DataFrame, n: int, lookup: Lookup | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Nodes at distance n, and how many joins and hops the plan took."""
-    return exact_hops(triples, seed_rows, n), {"query_count": n, "take_row_ids_count": n, "total_operations": 2 * n}
+    return exact_hops(triples, seed_rows, n, lookup=lookup), {"query_count": n, "take_row_ids_count": n, "total_operations": 2 * n}
 
 
 def max_hops(triples: DataFrame, cap: int = 10) -> DataFrame:
@@ -126,7 +153,7 @@ def max_hops(triples: DataFrame, cap: int = 10) -> DataFrame:
     """
     spark = triples.sparkSession
     ensure_checkpoints(spark)
-    edge = steps(triples, "out").checkpoint()
+    edge = steps(triples, "out").distinct().checkpoint()
     every = triples.select(F.col("head").alias("origin")).union(triples.select("tail")).distinct()
     frontier = edge.select(F.col("src").alias("origin"), F.col("dst").alias("node"))
     reach = frontier.select("origin", F.lit(1).alias("h"))
