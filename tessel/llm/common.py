@@ -70,9 +70,16 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def bucket_count(df: DataFrame, bytes_each: int, least: int = 12) -> int:
-    """How many buckets keep each under about ``bytes_each`` of the input."""
-    return max(least, plan_bytes(df) // bytes_each + 1)
+#: An estimate beyond this may be no more than a plan's default, and is measured.
+UNSURE_BYTES = 1 << 40
+
+
+def bucket_count(df: DataFrame, bytes_each: int, least: int = 12, text: str = "text") -> int:
+    """How many buckets keep each under about ``bytes_each`` of compressed input."""
+    size = plan_bytes(df)
+    if size > UNSURE_BYTES:
+        size = (df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) // 2
+    return max(least, size // bytes_each + 1)
 
 
 def text_bytes(name: str = "text") -> F.Column:
