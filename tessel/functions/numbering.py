@@ -26,12 +26,12 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "row_id") ->
     ensure_checkpoints(spark)
     fixed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     at = F.monotonically_increasing_id()
-    fixed = fixed.withColumn("__at", at).withColumn("__part", F.shiftright("__at", 33))
-    counts = {r["__part"]: r["n"] for r in fixed.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    fixed = fixed.withColumn("__numbered_at", at).withColumn("__numbered_part", F.shiftright("__numbered_at", 33))
+    counts = {r["__numbered_part"]: r["n"] for r in fixed.groupBy("__numbered_part").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for part in sorted(counts):
         before.append((part, total))
         total += counts[part]
-    starts = spark.createDataFrame(before or [(0, 0)], "__part long, __start long")
-    local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return fixed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + local).drop("__at", "__part", "__start")
+    starts = spark.createDataFrame(before or [(0, 0)], "__numbered_part long, __numbered_start long")
+    local = F.col("__numbered_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return fixed.join(F.broadcast(starts), "__numbered_part").withColumn(name, F.col("__numbered_start") + local).drop("__numbered_at", "__numbered_part", "__numbered_start")

@@ -677,3 +677,38 @@ def synthetic_graph(spark, sf_dir):
 @query("SELECT DISTINCT split_part(head, ':', 1) AS prefix FROM triples")
 def type_prefixes(spark, sf_dir):
     return star_triples(spark, sf_dir).select(type_prefix(F.col("head")).alias("prefix")).distinct()
+
+
+@query(f"""WITH around AS (SELECT *, row_number() OVER (ORDER BY relation, head, tail) - 1 AS row_id FROM (SELECT * FROM triples WHERE head = '{NATION}' UNION ALL SELECT * FROM triples WHERE tail = '{NATION}')),
+  ends AS (SELECT head AS node_id, head_type AS node_type, row_id, 1 AS o, 0 AS i, '{{"row_id":' || row_id || ',"relation":"' || relation || '","target":"' || tail || '"}}' AS e FROM around
+    UNION ALL SELECT tail, tail_type, row_id, 0, 1, '{{"row_id":' || row_id || ',"relation":"' || relation || '","source":"' || head || '"}}' FROM around)
+  SELECT node_id, arg_min(node_type, row_id) AS node_type, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree,
+    '[' || coalesce(string_agg(CASE WHEN o = 1 THEN e END, ',' ORDER BY row_id), '') || ']' AS out_edges, '[' || coalesce(string_agg(CASE WHEN i = 1 THEN e END, ',' ORDER BY row_id), '') || ']' AS in_edges FROM ends GROUP BY 1""")
+def json_adjacency(spark, sf_dir):
+    return build.json_adjacency(rows.with_row_id(_around(spark, sf_dir, [NATION]), ["relation", "head", "tail"]))
+
+
+@query(f"WITH {_UP_T.replace('SELECT s_suppkey id', 'SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id, s_suppkey id')}, {_UP_S} SELECT t.row_id, coalesce(s.id, t.id) AS id, coalesce(s.key, t.key) AS key, coalesce(s.col_a, t.col_a) AS col_a, coalesce(s.col_b, t.col_b) AS col_b FROM t FULL JOIN s ON s.id = t.id", raw=True)
+def stable_row_ids_upsert(spark, sf_dir):
+    """Row ids given at the first write stay with their rows through an upsert."""
+    target, source = _upsert_tables(spark, sf_dir)
+    return dml.upsert(rows.with_row_id(target, ["id"]), source)
+
+
+@query("""WITH f AS (SELECT s_suppkey AS id, 0 AS fragment, row_number() OVER (ORDER BY s_suppkey) - 1 AS o FROM supplier UNION ALL SELECT c_custkey, 1, row_number() OVER (ORDER BY c_custkey) - 1 FROM customer),
+  left_over AS (SELECT id, fragment, (fragment::BIGINT << 32) + o AS old FROM f WHERE id % 3 <> 0)
+  SELECT id, fragment, (2::BIGINT << 32) + row_number() OVER (ORDER BY old) - 1 AS row_address FROM left_over""", raw=True)
+def compaction_addresses(spark, sf_dir):
+    """Two appended fragments, a delete, and the rewrite into a third."""
+    first = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(0).alias("fragment"))
+    second = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("fragment"))
+    kept = rows.addressed([first, second], ["id"]).where("id % 3 <> 0")
+    return rows.compacted(kept, 2)
+
+
+@query("SELECT n_regionkey AS community_id, 'community::' || n_regionkey AS cluster_id, count(*) AS n, min(n_name) AS first_name FROM nation GROUP BY 1", raw=True)
+def cluster_layout(spark, sf_dir):
+    """Rows laid out by cluster before a write."""
+    n = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("community_id"), "n_name", F.col("n_nationkey").alias("physical_row_id"))
+    laid = build.laid_out(n.withColumn("cluster_id", build.cluster_by_community()), 4)
+    return laid.groupBy("community_id", "cluster_id").agg(F.count("*").alias("n"), F.min("n_name").alias("first_name"))

@@ -88,3 +88,8 @@ def with_authors(documents: DataFrame, authors: DataFrame) -> DataFrame:
     """Documents with their author's name and department; unknown authors leave them null."""
     who = authors.select(F.col("id").alias("author_id"), F.col("name").alias("author_name"), F.col("department").alias("author_department"))
     return documents.join(who, "author_id", "left")
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    """A copy in a relational database, written by each task; the driver's jar must be on the class path."""
+    df.write.mode(mode).format("jdbc").options(url=url, dbtable=table, **options).save()
