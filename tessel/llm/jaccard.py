@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bucket_count, fold, mix, prepare, stored, text_bytes
 from .components import components
-from .substrings import _first_of_runs, _texts
+from .substrings import _texts
 
 SHINGLE = 5
 
@@ -44,9 +44,12 @@ SHINGLE = 5
 SMALL = 8
 
 #: A shingle in this share of the documents is left out of the first domain.
-COMMON = 0.005
+COMMON = 0.0005
 
-BUCKET_BYTES = 8 << 20
+#: Shingles that are counted together before they are sent.
+COUNTED = 2_000_000
+
+BUCKET_BYTES, FLUSH_BYTES = 3 << 20, 4 << 20
 
 _PART, _BIT, _KEY = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 
@@ -166,13 +169,22 @@ def common_shingles(docs: DataFrame, share: float = COMMON) -> np.ndarray:
     the domain is partitioned first, never what is found.
     """
 
+    def told(held: list[np.ndarray], docs_seen: int) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= max(2, share * docs_seen / 2)
+        return pa.RecordBatch.from_arrays([pa.array([None, *h[often].view(np.int64).tolist()], pa.int64()), pa.array([docs_seen, *n[often].tolist()], pa.int64())], ["h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
-        for (raws,) in _texts(batches, 0):
-            held = [sets.of(x) for x in raws]
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(4, share * len(raws) / 2)
-            yield pa.RecordBatch.from_arrays([pa.array([None, *h[often].view(np.int64).tolist()], pa.int64()), pa.array([len(raws), *n[often].tolist()], pa.int64())], ["h", "n"])
+        sets, held, size = Sets(), [], 0
+        for (raws,) in _texts(batches, 0, flush=FLUSH_BYTES):
+            for raw in raws:
+                held.append(sets.of(raw))
+                size += len(held[-1])
+            if size >= COUNTED:
+                yield told(held, len(held))
+                held, size = [], 0
+        if held:
+            yield told(held, len(held))
 
     got = docs.select(text_bytes()).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     got = stored(got)
@@ -201,7 +213,7 @@ def _send(n: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sets()
         schema = _schema(EXCHANGE)
-        for ids, texts, raws in _texts(batches, 0, 1, 2):
+        for ids, texts, raws in _texts(batches, 0, 1, 2, flush=FLUSH_BYTES):
             sets, keys, rows = [], [], []
             place: dict[bytes, int] = {}
             for doc, th, raw in zip(ids, texts, raws, strict=True):
@@ -240,7 +252,7 @@ def _meet(table: pa.Table) -> pa.Table:
             continue
         wide = len(r["keys"]) // 16 > 65535
         sig.append(np.frombuffer(r["sig"], np.uint32))
-        cid.append(np.frombuffer(r["owner"], np.uint32 if wide else np.uint16).astype(np.int64) + seen)
+        cid.append(np.frombuffer(r["owner"], np.uint32 if wide else np.uint16) + np.uint32(seen))
         keys.append(np.frombuffer(r["keys"], np.uint64).reshape(-1, 2))
         sizes.append(np.frombuffer(r["sizes"], np.uint32))
         seen += len(sizes[-1])
@@ -250,9 +262,16 @@ def _meet(table: pa.Table) -> pa.Table:
         classes, which = np.unique(text, return_inverse=True)
         size = np.zeros(len(classes), np.int64)
         size[which] = np.concatenate(sizes)
-        entry = np.unique((np.concatenate(sig).astype(np.uint64) << np.uint64(32)) | which[np.concatenate(cid)].astype(np.uint64))
-        group, member = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(_first_of_runs(np.arange(len(entry)), group))
+        entry = np.concatenate(sig).astype(np.uint64)
+        sig.clear()
+        entry <<= np.uint64(32)
+        entry |= which.astype(np.uint64)[np.concatenate(cid)]
+        cid.clear()
+        entry.sort()  # sorted in place, since buckets are what fills a worker's memory
+        entry = entry[np.concatenate([[True], entry[1:] != entry[:-1]])]
+        group = (entry >> np.uint64(32)).astype(np.uint32)
+        member = (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         count = np.diff([*first, len(entry)])
         pairs = [np.zeros((0, 2), np.int64)]
         for c in range(2, SMALL + 1):
@@ -336,23 +355,22 @@ def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(exact.unionByName(rough.where(~F.col("maybe"))))
 
 
-def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _left_over(table: pa.Table) -> pa.Table:
     """Pairs of a large group that neither components nor the triangle inequality settle."""
-    schema = _schema("a binary, b binary")
-    for batch in batches:
-        out: set[tuple[bytes, bytes]] = set()
-        for (rows,) in zip(batch.column(0).to_pylist(), strict=True):
-            rows.sort(key=lambda r: r["key"])
-            comp, lo, hi, size = (np.array([r[c] for r in rows], t) for c, t in (("comp", object), ("lo", np.int64), ("hi", np.int64), ("n", np.int64)))
-            _, comp = np.unique(np.array([c.hex() for c in comp]), return_inverse=True)
-            main = np.bincount(comp).argmax()
-            for i in np.flatnonzero(comp != main).tolist():
-                fits = (7 * (lo[i] - hi) <= size[i] + size) & (7 * (lo - hi[i]) <= size[i] + size)
-                fits &= (comp != comp[i]) & (4 * np.minimum(size[i], size) >= 3 * np.maximum(size[i], size))
-                for j in np.flatnonzero(fits).tolist():
-                    x, y = sorted((rows[i]["key"], rows[j]["key"]))
-                    out.add((x, y))
-        yield _arrow(sorted(out), schema)
+    keys = table.column("key").to_pylist()
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    keys = [keys[k] for k in order]
+    lo, hi, size = (table.column(c).to_numpy()[order] for c in ("lo", "hi", "n"))
+    names: dict[bytes, int] = {}
+    comp = np.array([names.setdefault(c, len(names)) for c in table.column("comp").to_pylist()])[order]
+    main = np.bincount(comp).argmax()
+    out: list[tuple[bytes, bytes]] = []
+    for i in np.flatnonzero(comp != main).tolist():
+        fits = (comp != comp[i]) & (4 * np.minimum(size[i], size) >= 3 * np.maximum(size[i], size))
+        fits &= (7 * (lo[i] - hi) <= size[i] + size) & (7 * (lo - hi[i]) <= size[i] + size)
+        fits[:i] &= comp[:i] == main  # pairs of two others come up once
+        out += [(keys[min(i, j)], keys[max(i, j)]) for j in np.flatnonzero(fits).tolist()]
+    return pa.Table.from_batches([_arrow(out, _schema("a binary, b binary"))])
 
 
 def more_pairs(lists: DataFrame, bounds: DataFrame, roots: DataFrame) -> DataFrame:
@@ -367,8 +385,7 @@ def more_pairs(lists: DataFrame, bounds: DataFrame, roots: DataFrame) -> DataFra
     top = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     each = each.join(top, "pivot", "left").withColumn("same", F.col("comp") == F.coalesce("pivot_root", "pivot"))
     mixed = each.groupBy("id").agg(F.min("same").alias("all_same")).where(~F.col("all_same")).select("id")
-    rows = each.join(mixed, "id").groupBy("id").agg(F.collect_list(F.struct("key", "comp", "lo", "hi", "n")).alias("rows"))
-    return rows.select("rows").mapInArrow(_left_over, "a binary, b binary").distinct()
+    return each.join(mixed, "id").select("id", "key", "comp", "lo", "hi", "n").groupBy("id").applyInArrow(_left_over, "a binary, b binary").distinct()
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
