@@ -376,16 +376,16 @@ def _left_over(table: pa.Table) -> pa.Table:
 def more_pairs(lists: DataFrame, bounds: DataFrame, roots: DataFrame) -> DataFrame:
     """What is left to compare in large groups after all met their least member."""
     cut = F.expr("transform(sequence(0, length(members) div 16 - 1), k -> substring(members, 16 * k + 1, 16))")
-    each = lists.withColumn("id", F.sha2("members", 256)).dropDuplicates(["id"]).withColumn("pivot", F.substring("members", 1, 16)).select("id", "pivot", F.explode(cut).alias("key"))
-    each = each.where(F.col("pivot") != F.col("key"))
+    each = lists.select(F.substring("members", 1, 16).alias("pivot"), F.explode(cut).alias("key")).where(F.col("pivot") != F.col("key"))
+    each = each.distinct()  # groups with one least member are taken together, so a pair comes up once for each of those
     known = bounds.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "lo", "hi", F.col("nb").alias("n"))
     each = each.join(known, ["pivot", "key"])  # pairs of too different sizes were never compared
     root = roots.select(F.col("node").alias("key"), "root")
     each = each.join(root, "key", "left").withColumn("comp", F.coalesce("root", "key"))
     top = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     each = each.join(top, "pivot", "left").withColumn("same", F.col("comp") == F.coalesce("pivot_root", "pivot"))
-    mixed = each.groupBy("id").agg(F.min("same").alias("all_same")).where(~F.col("all_same")).select("id")
-    return each.join(mixed, "id").select("id", "key", "comp", "lo", "hi", "n").groupBy("id").applyInArrow(_left_over, "a binary, b binary").distinct()
+    mixed = each.groupBy("pivot").agg(F.min("same").alias("all_same")).where(~F.col("all_same")).select("pivot")
+    return each.join(mixed, "pivot").select("pivot", "key", "comp", "lo", "hi", "n").groupBy("pivot").applyInArrow(_left_over, "a binary, b binary").distinct()
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
