@@ -99,26 +99,33 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
     table = np.ascontiguousarray(table, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores: list[np.ndarray] = []
+        langs = table.shape[1]
+        most = 200_000
+        scores = np.empty((most, langs))
+        has = np.empty(most)
 
         def make(word: bytes) -> int:
+            k = len(held)
             got = slots(word)
-            scores.append(table[got].mean(0) if got else np.full(table.shape[1], np.nan))
-            return len(scores) - 1
+            has[k] = bool(got)
+            scores[k] = table[got].mean(0) if got else 0.0
+            return k
 
-        held = WordSlots(make)
+        held = WordSlots(make, most)
         for batch in batches:
             like, count = [], []
             for raw in batch.column(4).to_pylist():
                 words = raw.split()
-                if len(held) + len(words) > held.most:
-                    held.clear()
-                    scores.clear()
-                at = [held[w] for w in words]
-                got = np.array([scores[k] for k in at]) if at else np.zeros((0, table.shape[1]))
-                got = got[~np.isnan(got[:, 0])] if table.shape[1] else got[:0]
-                count.append(len(got))
-                like.append((got.mean(0) * min(len(got), MOST_WORDS)).tolist() if len(got) else [0.0] * table.shape[1])
+                total, n = np.zeros(langs), 0
+                for a in range(0, len(words), most // 2):
+                    part = words[a : a + most // 2]
+                    if len(held) + len(part) > most:
+                        held.clear()
+                    at = np.fromiter(map(held.__getitem__, part), np.int64, len(part))
+                    total += scores[at].sum(0)
+                    n += int(has[at].sum())
+                count.append(n)
+                like.append((total / n * min(n, MOST_WORDS)).tolist() if n else [0.0] * langs)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(count, pa.int64()), pa.array(like, pa.list_(pa.float64()))], ["id", "host", "suffix", "declared", "n_words", "like"])
 
     kept = rows.select("id", "host", "suffix", "declared", text_bytes())
