@@ -101,17 +101,22 @@ def disclosing(docs: DataFrame, base: DataFrame, near: DataFrame, support: int =
     """(entity, term, share of IC(entity) that the term carries) for terms at or over ``general``."""
     doc = F.struct("doc_id", "__text")
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("scene").alias("scenes"), F.countDistinct(doc).alias("both")).where(F.col("scenes") >= support)
-    pairs = stored(pairs)
     held = base.where(F.size("spans") > 0).select("doc_id", "__text", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))).alias("entity"))
     entity_df = held.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    n = base.agg(F.count("*").alias("n"))
+    ic = F.log2(F.col("n") / F.col("with_entity"))
+
+    def share(with_term: str) -> Column:
+        return F.log2(F.col("n") * F.col("both") / (F.col(with_term) * F.col("with_entity"))) / ic
+
+    # documents that hold a term near some entity are a lower bound of df(t): pairs that fail on it fail anyway
+    least = near.groupBy("term").agg(F.countDistinct(doc).alias("near_term"))
+    pairs = pairs.join(entity_df, "entity").join(least, "term").crossJoin(F.broadcast(n)).where(ic > 0).where(share("near_term") >= general)  # n is one row
+    pairs = stored(pairs)
     terms = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
     term_df = words.join(stored(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    n = base.agg(F.count("*").alias("n"))
-    got = pairs.join(term_df, "term").join(entity_df, "entity").crossJoin(F.broadcast(n))  # n is one row
-    ic = F.log2(F.col("n") / F.col("with_entity"))
-    pmi = F.log2(F.col("n") * F.col("both") / (F.col("with_term") * F.col("with_entity")))
-    return got.where(ic > 0).withColumn("share", pmi / ic).where(F.col("share") >= general).select("entity", "term", "share")
+    return pairs.join(term_df, "term").withColumn("share", share("with_term")).where(F.col("share") >= general).select("entity", "term", "share")
 
 
 def protect(docs: DataFrame, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
