@@ -12,8 +12,10 @@ if still too few, the features of an ordered prefix, which bind any pair.
 So the candidates are complete, whatever features count as common.
 
 Sets that share a signature are compared: within small groups all of them,
-within large groups all with the group's least set, and then those that
-neither a common component nor the triangle inequality settles. A parity
+within large groups all with a pivot, which is the least set whose size fits
+every other's (or the most others'), and then those that neither a common
+component nor the triangle inequality settles; members whose size does not fit
+the pivot's stay in this step, bounded by the sizes alone. A parity
 bitmap bounds the difference of each candidate from below; what it lets pass is
 verified on the features of the whole texts. Equal sets are one class from the
 start, so copies meet no one twice.
@@ -241,6 +243,13 @@ def _send(n: int, common: np.ndarray):
     return run
 
 
+def _pivot(size: np.ndarray) -> int:
+    """The place of the first member whose size fits the most others'."""
+    ranked = np.sort(size)
+    fits = np.searchsorted(ranked, size * 4 // 3, side="right") - np.searchsorted(ranked, (3 * size + 3) // 4, side="left")
+    return int(fits.argmax())
+
+
 def _meet(table: pa.Table) -> pa.Table:
     """Candidate pairs and large groups of one bucket; rows about documents pass."""
     schema = _schema(FOUND)
@@ -257,7 +266,7 @@ def _meet(table: pa.Table) -> pa.Table:
         sizes.append(np.frombuffer(r["sizes"], np.uint32))
         seen += len(sizes[-1])
     if sig:
-        k = np.concatenate(keys)
+        k = np.concatenate(keys).byteswap()  # so that classes are in the order of their bytes
         text = k.view([("x", np.uint64), ("y", np.uint64)]).ravel()
         classes, which = np.unique(text, return_inverse=True)
         size = np.zeros(len(classes), np.int64)
@@ -281,15 +290,17 @@ def _meet(table: pa.Table) -> pa.Table:
         lists = set()
         for f, c in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
             m = member[f : f + c]
-            pairs.append(np.stack([np.full(c - 1, m[0]), m[1:]], 1))
-            lists.add(m.tobytes())
+            at = _pivot(size[m])
+            others = np.delete(m, at)
+            pairs.append(np.stack([np.minimum(m[at], others), np.maximum(m[at], others)], 1))
+            lists.add(np.concatenate([m[at : at + 1], others]).tobytes())
         p = np.concatenate(pairs)
         p = np.unique(p[:, 0] << 32 | p[:, 1])
         x, y = p >> 32, p & 0xFFFFFFFF
         fits = 4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y])
-        raw = [classes[k].tobytes() for k in range(len(classes))]
+        raw = [x.tobytes() for x in classes.view(np.uint64).reshape(-1, 2).byteswap()]
         out += [("pair", raw[i], raw[j], None, None, None, None, None) for i, j in zip(x[fits].tolist(), y[fits].tolist(), strict=True)]
-        out += [("list", None, None, None, None, None, None, b"".join(raw[k] for k in np.frombuffer(m, np.int64).tolist())) for m in lists]
+        out += [("list", None, None, None, None, None, None, b"".join(raw[k] + int(size[k]).to_bytes(4, "big") for k in np.frombuffer(m, np.int64).tolist())) for m in lists]
     return pa.Table.from_batches([_arrow(out, schema)])
 
 
@@ -374,12 +385,14 @@ def _left_over(table: pa.Table) -> pa.Table:
 
 
 def more_pairs(lists: DataFrame, bounds: DataFrame, roots: DataFrame) -> DataFrame:
-    """What is left to compare in large groups after all met their least member."""
-    cut = F.expr("transform(sequence(0, length(members) div 16 - 1), k -> substring(members, 16 * k + 1, 16))")
-    each = lists.select(F.substring("members", 1, 16).alias("pivot"), F.explode(cut).alias("key")).where(F.col("pivot") != F.col("key"))
-    each = each.distinct()  # groups with one least member are taken together, so a pair comes up once for each of those
-    known = bounds.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "lo", "hi", F.col("nb").alias("n"))
-    each = each.join(known, ["pivot", "key"])  # pairs of too different sizes were never compared
+    """What is left to compare in large groups after all that fit their pivot met it."""
+    size = lambda at: F.conv(F.hex(F.substr("members", at, F.lit(4))), 16, 10).cast("long")
+    cut = F.transform(F.sequence(F.lit(1), F.length("members") - 19, F.lit(20)), lambda k: F.struct(F.substr("members", k, F.lit(16)).alias("key"), size(k + 16).alias("n")))
+    each = lists.select(F.substring("members", 1, 16).alias("pivot"), size(F.lit(17)).alias("np"), F.inline(cut)).where(F.col("pivot") != F.col("key"))
+    each = each.distinct()  # groups with one pivot are taken together, so a pair comes up once for each of those
+    each = each.withColumns({"a": F.least("pivot", "key"), "b": F.greatest("pivot", "key")}).join(bounds.select("a", "b", "lo", "hi"), ["a", "b"], "left")
+    # members of too different sizes were not compared with the pivot: the sizes alone bound their difference
+    each = each.select("pivot", "key", "n", F.coalesce("lo", F.abs(F.col("n") - F.col("np"))).alias("lo"), F.coalesce("hi", F.col("n") + F.col("np")).alias("hi"))
     root = roots.select(F.col("node").alias("key"), "root")
     each = each.join(root, "key", "left").withColumn("comp", F.coalesce("root", "key"))
     top = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))

@@ -96,6 +96,30 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
 
 
+def test_jaccard_join_of_a_large_group_over_two_size_bands(spark):
+    """A passage shared by many longer texts, and two texts that link only with each other."""
+    passage = [f"t{i}" for i in range(105)]
+    own = lambda name, n: [f"{name}_{k}" for k in range(n)]
+    for start in range(3):  # other words, other least members
+        at = [f"{start}{w}" for w in passage]
+        rows = [(i, " ".join(at + own(f"z{start}_{i}", 35 + i % 21))) for i in range(100)]
+        rows += [(200, " ".join(at)), (201, " ".join(at + own(f"y{start}", 33)))]
+        out, _ = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
+
+
+def test_left_over_pairs_of_members_that_do_not_fit_the_pivot(spark):
+    import numpy as np
+
+    key = lambda k: bytes([k]) * 16
+    size = {1: 100, 2: 140, 3: 150, 4: 101}
+    lists = spark.createDataFrame([(b"".join(key(k) + n.to_bytes(4, "big") for k, n in size.items()),)], "members binary")
+    bounds = spark.createDataFrame([(key(1), key(4), 100, 101, 90, 90, False)], jaccard.BOUNDS)
+    roots = spark.createDataFrame([], "node binary, root binary")
+    assert {(r["a"], r["b"]) for r in jaccard.more_pairs(lists, bounds, roots).collect()} == {(key(2), key(3))}
+    assert jaccard._pivot(np.array([101, 150, 130, 134, 156])) == 2 and jaccard._pivot(np.array([100, 140, 150, 180])) == 1
+
+
 def test_signatures_meet_for_every_linked_pair():
     import random
 
