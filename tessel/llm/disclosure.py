@@ -2,13 +2,16 @@
 
 Protected entities (mail addresses, network addresses, card and phone
 numbers) are found by pattern. Corpus co-occurrence then estimates how much
-each term near an entity reveals about it: with N documents, the information
+each term of a document with an entity reveals about it: with N documents, the information
 content of entity e is IC(e) = log2(N / df(e)) and the point-wise mutual
 information of term t and e is PMI(t, e) = log2(N * df(t, e) / (df(t) * df(e))).
-A term that carries at least ``general`` of IC(e) is generalised where it
-stands near e, one that carries at least ``remove`` of it is removed. df(t, e)
-counts documents that hold t within ``reach`` code points of e; a pair needs
-``support`` different surroundings, so that copies of one text prove nothing.
+A term that carries at least ``general`` of IC(e) is generalised wherever it
+stands in a document that holds e, one that carries at least ``remove`` of it
+is removed. df(t, e) counts documents that hold both, whatever lies between
+them. Terms are runs of letters and digits of any length. A pair needs
+``support`` documents in which e has different surroundings, or as many
+surroundings that hold t within ``reach`` code points of e, so that copies of
+one text prove nothing. Words inside an entity go with it.
 
 Edge cases: a null text counts as empty; an empty text has no spans; texts are
 searched whole; ties and repeated rows get the same spans; a null doc_id is an
@@ -34,6 +37,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 REACH, SUPPORT, GENERAL, REMOVE = 120, 3, 0.8, 0.95
 
+#: A character of a term.
+LETTER = r"[\p{L}\p{M}\p{N}]"
+
 
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
@@ -91,42 +97,82 @@ def nearby_terms(base: DataFrame) -> DataFrame:
         F.struct(F.col("near.from").alias("from"), F.col("near.before").alias("part"), F.lit(True).alias("left")),
         F.struct(F.col("spans.end").alias("from"), F.col("near.after").alias("part"), F.lit(False).alias("left")),
     )))
-    word = matches(F.col("part"), r"\p{L}{4,}", "term", 9)
+    word = matches(F.col("part"), f"{LETTER}+", "term", 9)
     one = one.select("doc_id", "__text", "entity", "scene", "from", "left", F.length("part").alias("size"), F.inline(word))
     whole = F.when(F.col("left"), (F.col("start") > 0) | (F.col("from") == 0)).otherwise((F.col("end") < F.col("size")) | (F.col("size") < REACH))
     return one.where(whole).select("doc_id", "__text", "entity", "scene", F.lower("found").alias("term"), (F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("end")).alias("end"))
 
 
-def disclosing(docs: DataFrame, base: DataFrame, near: DataFrame, support: int = SUPPORT, general: float = GENERAL) -> DataFrame:
-    """(entity, term, share of IC(entity) that the term carries) for terms at or over ``general``."""
-    doc = F.struct("doc_id", "__text")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("scene").alias("scenes"), F.countDistinct(doc).alias("both")).where(F.col("scenes") >= support)
-    held = base.where(F.size("spans") > 0).select("doc_id", "__text", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))).alias("entity"))
-    entity_df = held.groupBy("entity").agg(F.count("*").alias("with_entity"))
+def _entity(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], F.lower(s["found"]))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc, text), where doc is the id and a hash of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct("doc_id", F.xxhash64(text).alias("__text")).alias("doc"), text.alias("text"))
+
+
+def disclosing(docs: DataFrame, base: DataFrame, near: DataFrame, support: int = SUPPORT, general: float = GENERAL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entity, term, share of IC(entity) that the term carries) for terms at or over ``general``; (doc, entity) and (doc, form, term) of the documents they may be in."""
+    some = base.where(F.size("spans") > 0)
+    each = some.select(F.struct("doc_id", "__text").alias("doc"), F.inline(F.arrays_zip("spans", "near")))
+    held = each.groupBy("doc", _entity(F.col("spans")).alias("entity")).agg(F.min(F.xxhash64("near.before", "near.after")).alias("scene"))
+    entity_df = some.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    close = stored(near.groupBy("entity", "term").agg(F.countDistinct("scene").alias("scenes")).where(F.col("scenes") >= support).select("entity", "term"))
     n = base.agg(F.count("*").alias("n"))
     ic = F.log2(F.col("n") / F.col("with_entity"))
 
     def share(with_term: str) -> Column:
         return F.log2(F.col("n") * F.col("both") / (F.col(with_term) * F.col("with_entity"))) / ic
 
-    # documents that hold a term near some entity are a lower bound of df(t): pairs that fail on it fail anyway
-    least = near.groupBy("term").agg(F.countDistinct(doc).alias("near_term"))
-    pairs = pairs.join(entity_df, "entity").join(least, "term").crossJoin(F.broadcast(n)).where(ic > 0).where(share("near_term") >= general)  # n is one row
+    # an entity without enough surroundings has no pair with enough of them
+    able = held.groupBy("entity").agg(F.countDistinct("scene").alias("scenes")).where(F.col("scenes") >= support).select("entity").union(close.select("entity")).distinct()
+    able = able.join(entity_df, "entity").crossJoin(F.broadcast(n)).where(ic > 0)  # n is one row
+    held = stored(held.join(able, "entity"))
+    words = _texts(docs).join(held.select("doc").distinct(), "doc", "left_semi")
+    words = stored(words.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"{LETTER}+"), F.lit(0)))).alias("form")).withColumn("term", F.lower("form")))
+    terms = words.select("doc", "term").distinct()
+    # documents that hold a term and some entity are a lower bound of df(t): pairs that fail on it fail anyway
+    least = terms.groupBy("term").agg(F.count("*").alias("near_term"))
+    terms = terms.join(least, "term")
+    both = held.join(terms, "doc").where(F.log2(F.col("n") / F.col("near_term")) >= general * ic - 1e-9)
+    pairs = both.groupBy("entity", "term", "with_entity", "near_term", "n").agg(F.countDistinct("scene").alias("scenes"), F.count("*").alias("both")).where(share("near_term") >= general)
+    pairs = pairs.join(close.withColumn("close", F.lit(True)), ["entity", "term"], "left").where((F.col("scenes") >= support) | F.col("close"))
     pairs = stored(pairs)
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
-    term_df = words.join(stored(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    return pairs.join(term_df, "term").withColumn("share", share("with_term")).where(F.col("share") >= general).select("entity", "term", "share")
+    asked = pairs.select("term").distinct()
+    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(f"{LETTER}+"), F.lit(0)))).alias("term"))
+    term_df = seen.join(stored(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    told = pairs.join(term_df, "term").withColumn("share", share("with_term")).where(F.col("share") >= general).select("entity", "term", "share")
+    return told, held.select("doc", "entity"), words
+
+
+def _places(text: Column, form: Column) -> Column:
+    """Where the word ``form`` stands in a text, as an array of (start, end)."""
+    pattern = F.concat(F.lit(f"(?<!{LETTER})"), form, F.lit(f"(?!{LETTER})"))
+    gaps = F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+    def step(acc: Column, gap: Column) -> Column:
+        first = (acc["at"] + F.length(gap)).cast("bigint")
+        end = (first + F.length(form)).cast("bigint")
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda acc: acc["out"])
 
 
 def protect(docs: DataFrame, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
     """doc_id, hash of the text, ``base`` spans and ``terms`` spans (kind term or drop) of every document."""
     prepare(docs.sparkSession)
     base = found_entities(docs)
-    near = stored(nearby_terms(base))
-    told = disclosing(docs, base, near, general=general)
-    hits = near.join(stored(told), ["entity", "term"])
-    spans = hits.groupBy("doc_id", "__text", "start", "end").agg(F.max("share").alias("share"), F.first("term").alias("found"))
+    told, held, words = disclosing(docs, base, nearby_terms(base), general=general)
+    shares = held.join(stored(told), "entity").groupBy("doc", "term").agg(F.max("share").alias("share"))
+    hits = words.join(shares, ["doc", "term"]).groupBy("doc").agg(F.collect_list(F.struct("form", "term", "share")).alias("hits"))
+    inside = base.where(F.size("spans") > 0).select(F.struct("doc_id", "__text").alias("doc"), "spans").dropDuplicates(["doc"])
+    hits = _texts(docs).join(stored(hits), "doc").dropDuplicates(["doc"]).join(inside, "doc").select("doc", "text", "spans", F.inline("hits"))
+    spans = hits.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.__text").alias("__text"), "spans", "share", F.col("term").alias("found"), F.inline(_places(F.col("text"), F.col("form"))))
+    spans = spans.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
     kind = F.when(F.col("share") >= remove, "drop").otherwise("term")
     span = F.struct("start", "end", F.when(F.col("share") >= remove, 5).otherwise(4).alias("rank"), kind.alias("kind"), "found").cast(SPAN)
     by_doc = spans.groupBy("doc_id", "__text").agg(F.collect_list(span).alias("terms"))

@@ -191,6 +191,17 @@ def test_terms_that_reveal_an_entity_are_taken_out(spark):
     assert disclosure.sanitise(df).where("doc_id >= 10").join(df.withColumnRenamed("text", "was"), "doc_id").where("text <> was").count() == 0
 
 
+def test_telling_terms_far_from_the_entity_are_taken_out(spark):
+    """Terms over 120 code points away, short ones and ones with digits; a word inside the entity is no span of its own."""
+    far = lambda i: " ".join(f"filler{k}" for k in range(30 + i))
+    rows = [(i, f"Zanzibar qx and k7 {far(i)} write{i} boss@corp.example {far(2 * i)} about zanzibar again") for i in range(5)]
+    rows += [(10 + i, f"plain {far(9)} about other and write again") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = disclosure.sanitise(df).where("doc_id < 5").collect()
+    assert all(r["text"].startswith("  and  filler0 filler1 ") and "[EMAIL]" in r["text"] and r["text"].endswith(" about  again") for r in hit)
+    assert disclosure.protect(df).where("exists(terms, t -> t.found in ('boss', 'corp', 'example'))").count() == 0
+
+
 def test_secret_base_and_redaction(spark):
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TRICKY)] + [(2, TRICKY[2], "again"), (None, None, "n")], "doc_id long, text string, found string")
     out, fresh = secrets.scan(df)
