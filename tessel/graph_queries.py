@@ -712,3 +712,20 @@ def cluster_layout(spark, sf_dir):
     n = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("community_id"), "n_name", F.col("n_nationkey").alias("physical_row_id"))
     laid = build.laid_out(n.withColumn("cluster_id", build.cluster_by_community()), 4)
     return laid.groupBy("community_id", "cluster_id").agg(F.count("*").alias("n"), F.min("n_name").alias("first_name"))
+
+
+@query("""WITH numbered AS (SELECT *, row_number() OVER (ORDER BY relation, head, tail) - 1 AS row_id FROM triples),
+  ends AS (SELECT head AS node_id, head_type AS node_type, row_id, 1 AS o, 0 AS i, '{"row_id":' || row_id || ',"relation":"' || relation || '","target":"' || tail || '"}' AS e FROM numbered
+    UNION ALL SELECT tail, tail_type, row_id, 0, 1, '{"row_id":' || row_id || ',"relation":"' || relation || '","source":"' || head || '"}' FROM numbered)
+  SELECT node_id, arg_min(node_type, row_id) AS node_type, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree,
+    '[' || coalesce(string_agg(CASE WHEN o = 1 THEN e END, ',' ORDER BY row_id), '') || ']' AS out_edges, '[' || coalesce(string_agg(CASE WHEN i = 1 THEN e END, ',' ORDER BY row_id), '') || ']' AS in_edges FROM ends GROUP BY 1""")
+def json_adjacency_whole(spark, sf_dir):
+    """The JSON adjacency of every node, with the row ids of the whole triple table."""
+    return build.json_adjacency(rows.with_row_id(star_triples(spark, sf_dir), ["relation", "head", "tail"]))
+
+
+@query("SELECT cluster_id, count(*) AS n, min(node_id) AS first_node FROM adj GROUP BY 1", "adj")
+def cluster_layout_nodes(spark, sf_dir):
+    """The node table laid out by cluster before a write."""
+    laid = build.laid_out(_adjacency(spark, sf_dir), 4)
+    return laid.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"))
