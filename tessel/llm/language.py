@@ -22,14 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import prepare, sized_join, stored, text_bytes
 
-#: Bounds: rows that the trigrams are counted on, slots of the table, languages told apart.
-MAX_SAMPLE, SLOTS, MAX_LANGUAGES = 3000, 1 << 15, 64
+#: Bounds: rows that the trigrams are counted on (but LEAST_SAMPLE of each language), slots of the table.
+MAX_SAMPLE, LEAST_SAMPLE, SLOTS = 3000, 20, 1 << 15
 
 #: A text counts as this many words at most, since words of a text are not independent.
 MOST_WORDS = 50
@@ -81,12 +81,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(rows: DataFrame, max_sample: int = MAX_SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log likelihoods (slot, language) from at most ``max_sample`` declared rows, chosen by hash."""
+    """Languages and log likelihoods (slot, language) from declared rows, chosen by hash.
+
+    Each declared language gets an equal part of ``max_sample``, and
+    LEAST_SAMPLE rows where that is more; all declared values are languages.
+    """
     known = rows.where(F.col("declared").isNotNull() & F.col("id").isNotNull())
-    common = known.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES)
-    langs = sorted(r["declared"] for r in common.collect())
-    chosen = known.where(F.col("declared").isin(langs)).select("id").orderBy(F.xxhash64("id"), "id").limit(max_sample).distinct()
-    sample = known.where(F.col("declared").isin(langs)).join(F.broadcast(chosen), "id").select("declared", text_bytes())  # at most max_sample ids are broadcast
+    langs = sorted(r["declared"] for r in known.select("declared").distinct().collect())
+    each = max(LEAST_SAMPLE, max_sample // max(1, len(langs)))
+    place = F.row_number().over(Window.partitionBy("declared").orderBy(F.xxhash64("id"), "id"))
+    chosen = known.select("declared", "id").withColumn("place", place).where(F.col("place") <= each).select("declared", "id").distinct()  # cut to ``each`` before the shuffle too
+    sample = known.join(F.broadcast(chosen), ["declared", "id"]).select("declared", text_bytes())  # at most ``each`` ids a language are broadcast
     counts = sample.mapInArrow(_counted, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most languages x SLOTS rows
     table = np.full((SLOTS, len(langs)), TRIGRAM_PRIOR)
     at = {x: k for k, x in enumerate(langs)}

@@ -283,6 +283,19 @@ def test_language_by_text_host_and_declaration(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_languages_are_not_capped_and_rare_ones_are_sampled(spark):
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:02}": ["".join(rng.choices(letters, k=7)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(own[lang], k=20)), None, None, lang) for i, lang in enumerate(x for x in own for _ in range(60 if x == "l00" else 2))]
+    asked = [(1000 + k, " ".join(own[f"l{k:02}"] * 2), None, None, None) for k in range(70)]
+    df = spark.createDataFrame(rows + asked, "id long, text string, host string, suffix string, declared string")
+    got = {r["id"]: r["text_lang"] for r in language.identify(df, max_sample=30).where("id >= 1000").collect()}
+    assert got == {1000 + k: f"l{k:02}" for k in range(70)}
+
+
 def test_language_of_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.example.de/x", '<html lang="de"><script>let a;</script><p>der und nicht</p>'), (2, None, None)], "page_id long, url string, html string")
     got = {r["id"]: r for r in language.of_pages(pages).collect()}
