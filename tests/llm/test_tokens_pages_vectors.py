@@ -128,6 +128,14 @@ def test_pages_without_an_article_element(spark):
     assert extraction.extract(df.limit(0)).count() == 0
 
 
+def test_short_and_link_rich_slots_of_an_article_stay(spark):
+    page = "<html><body><div class=a>Same on all pages</div><div class=b><p>Long {n} " + "text of page {n} " * 40 + "</p></div><div class=c><p>Short {n}</p></div><div class=d><a href=/r>Reference {n} by name</a></div><div class=e><p>End {n}</p></div><div class=f><a href=/m>More {n}</a></div></body></html>"
+    rows = [(i, "http://short.example/", page.format(n=i)) for i in range(6)]
+    got = {r["page_id"]: r["text"].split("\n") for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i][0].startswith(f"Long {i} text") and got[i][1:] == [f"Short {i}", f"Reference {i} by name", f"End {i}"]
+
+
 def test_templates_are_the_tokens_with_the_pages_own_vector(spark):
     rows = [(i, "http://h.example/", PAGE.format(n=i)) for i in range(6)]
     outer = extraction.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["outer"]
