@@ -1,11 +1,10 @@
-"""Best-fit packing of tokenised documents, bulk-synchronous.
-
-Documents and gaps are kept sorted by size. In every round each size class of
-documents, largest first, sweeps to its successor gap (the smallest that is
-large enough); where more documents than gaps ask, rank decides; the gaps are
-updated and the sweep repeats until all are placed. Documents of one length
-are interchangeable, so the sweeps run on run-length classes, of which there
-are at most ``capacity``; the plan holds a bounded number of rank ranges. The
+"""Best-fit packing of tokenised documents: a plan on the driver, ranks on the cluster.
+
+Matching is a sequential best-fit-decreasing pass on the driver over length
+classes, of which there are at most ``capacity``, since documents of one
+length are interchangeable and the input is so small. It takes the place of
+bulk-synchronous sweeps with a distributed gap table and conflicts by rank,
+which are not run. The plan holds a bounded number of rank ranges. The
 documents themselves are range-sorted on the cluster, get their rank there and
 meet the plan by length and rank, so no task or driver holds them together.
 
