@@ -1,24 +1,34 @@
 """N-gram Jaccard self-join with PartEnum signatures.
 
 Two sets with Jaccard similarity of 3/4 or more differ in at most a seventh of
-their sizes' sum. Sets are put in size bands; for each band the feature domain
-is cut into more partitions than such a pair can differ in, so one partition
-holds the same, non-empty part of both, and the hashes of the parts are the
-signatures. A set emits them for its own band and for the next, where its
-larger partner may be. A set whose features fall in too few partitions for the
-bound (which it can tell by itself) says so by emitting further signatures:
-over the whole domain, where very common features were left out of it, and,
-if still too few, the features of an ordered prefix, which bind any pair.
-So the candidates are complete, whatever features count as common.
-
-Sets that share a signature are compared: within small groups all of them,
-within large groups all with a pivot, which is the least set whose size fits
-every other's (or the most others'), and then those that neither a common
-component nor the triangle inequality settles; members whose size does not fit
-the pivot's stay in this step, bounded by the sizes alone. A parity
-bitmap bounds the difference of each candidate from below; what it lets pass is
-verified on the features of the whole texts. Equal sets are one class from the
-start, so copies meet no one twice.
+their sizes' sum, and share at least 3/4 of the larger. Both facts are used.
+
+First, features that no other set holds are counted out, by one exchange of
+all features: a set of which over a quarter is its own has no partner, and the
+features left of the others are all that partners can share. A feature that a
+batch finds in several of its sets is sent once for all of them.
+
+Second, PartEnum on what is left. Sets are put in size bands. For each band
+the feature domain is cut into first-level partitions, so many that a linked
+pair differs in at most K2 features within one of them; that partition is cut
+into second-level ones, and the hash of every subset of these without K2 of
+them is a signature, since the pair agrees on one such subset. A set emits
+signatures for its own band and for the next, where its larger partner may be.
+A partition is of use to a set that is spread over more than K2 of its
+second-level parts, so that no subset can be empty; a set with too few of
+those for its bound says so by emitting an ordered prefix of its features too,
+which binds any two such sets. So the candidates are complete.
+
+Third, sets that share a signature are compared. The member with the smallest
+share of features of its own is the group's pivot, within a batch before
+anything is sent and then over all; members meet their pivots, on the features
+themselves, with no bound on their number. Links make components. A member
+outside its pivot's component is compared with the group's other members
+outside its own, in blocks of bounded size: by the triangle inequality, by
+parity bitmaps, and what these let pass by the features. Only links leave that
+step, and none within what is connected by then.
+
+Equal sets are one class from the start, so copies meet no one twice.
 
 Edge cases: a null or empty text has the empty set, linked with nothing; a
 text with fewer words than a shingle is one shingle; repeated rows and ties
@@ -28,11 +38,11 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +52,17 @@ from .substrings import _texts
 
 SHINGLE = 5
 
-#: Groups up to this size are compared all with all.
-SMALL = 8
+#: Features that a pair may differ in within a partition, and second-level partitions beyond those.
+K2, SPARE = 2, 3
 
-#: A shingle in this share of the documents is left out of the first domain.
-COMMON = 0.0005
+#: Bytes of compressed input to a bucket; bytes of text, and of features, that are worked on at once; bytes of features in a block.
+BUCKET_BYTES, FLUSH_BYTES, SET_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20, 8 << 20, 4 << 20
 
-#: Shingles that are counted together before they are sent.
-COUNTED = 2_000_000
-
-BUCKET_BYTES, FLUSH_BYTES = 3 << 20, 4 << 20
+#: Rows of a batch, whose places must fit 16 bits.
+BATCH_ROWS = 60_000
 
 _PART, _BIT, _KEY = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
+_S16, _OWNER = np.uint64(16), np.uint64(0xFFFF)
 
 
 def _bands(most: int = 1 << 40) -> np.ndarray:
@@ -71,14 +80,18 @@ def linked(both: int, a: int, b: int) -> bool:
     return 100 * both >= 75 * (a + b - both) and both > 0
 
 
-def partitions(most: np.ndarray) -> np.ndarray:
-    """How many partitions a band of sets up to ``most`` has."""
-    return np.ceil(0.33 * most + 0.5 * np.sqrt(most)).astype(np.int64) + 1
+def scheme(band: int) -> tuple[int, int, int]:
+    """(first-level partitions, second-level partitions of each, features that may differ within one) of a band."""
+    most = int(2 * BANDS[band] // 7)
+    differ = min(K2, most)
+    first = 1 if most <= K2 else -(-(most + 1) * 11 // (10 * (differ + 1))) + 1
+    return first, differ + SPARE if differ else 1, differ
+
 
+def _subsets(n: int, without: int) -> list[tuple[int, ...]]:
+    from itertools import combinations
 
-def bound(size: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """The largest difference from a partner of at most ``most`` features."""
-    return (size + np.minimum(most, size * 4 // 3)) // 7
+    return list(combinations(range(n), n - without))
 
 
 class Sets:
@@ -96,107 +109,78 @@ class Sets:
         acc = np.full(n - size + 1, np.uint64(size))
         for k in range(size):
             acc = fold(acc, h[k : n - size + 1 + k])
-        return np.unique(acc)
+        return np.unique(acc >> _S16)
 
 
 def class_key(s: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
+    """96 bits that stand for a set, and its size."""
     with np.errstate(over="ignore"):
-        return np.array([mix(s).sum() + np.uint64(len(s)), mix(s ^ _KEY).sum()], np.uint64).tobytes()
-
-
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of the features over a power of two of bits."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
-    at = (mix(s ^ _BIT) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the difference of two sets from their sketches."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the set, signature) for all signatures of non-empty sets."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(sets)), sizes)
-    hot = np.isin(h, common) if len(common) else np.zeros(len(h), bool)
-    part_hash, value = mix(h ^ _PART), mix(h)
-    own_band = np.searchsorted(BANDS, sizes)
-    out_doc, out_sig = [], []
+        return struct.pack("<QII", int(mix(s).sum()), int(mix(s ^ _KEY).sum()) >> 32, len(s))
 
-    def parts(scheme: np.ndarray, use: np.ndarray, level: int) -> np.ndarray:
-        """Emits the parts of the features in ``use``; tells which sets have enough of them."""
-        count = np.where(sizes > 0, partitions(BANDS[scheme]), 0)
-        first = np.cumsum(count) - count
-        d = doc[use]
-        p = (part_hash[use] % count[d].astype(np.uint64)).astype(np.int64)
-        slot = first[d] + p
-        acc = np.zeros(int(count.sum()), np.uint64)
-        np.add.at(acc, slot, value[use])
-        at = np.flatnonzero(np.bincount(slot, minlength=len(acc)))
-        owner = np.searchsorted(first + count, at, side="right")
-        salt = (scheme[owner].astype(np.uint64) << np.uint64(40)) + ((at - first[owner]).astype(np.uint64) << np.uint64(4)) + np.uint64(level)
-        out_doc.append(owner)
-        out_sig.append(fold(acc[at], salt))
-        return np.bincount(owner, minlength=len(sets)) > bound(sizes, BANDS[scheme])
 
-    for step in (0, 1):
-        scheme = own_band + step
-        short = (sizes > 0) & ~parts(scheme, ~hot, 1)
-        if hot.any() or len(common):
-            if short.any():
-                short &= ~parts(scheme, short[doc], 2)
-        for k in np.flatnonzero(short).tolist():
-            s = sets[k]
-            order = np.lexsort((mix(s), np.isin(s, common)))
-            prefix = s[order[: len(s) - (3 * len(s) + 3) // 4 + 1]]
-            out_doc.append(np.full(len(prefix), k))
-            out_sig.append(fold(mix(prefix), np.full(len(prefix), (np.uint64(scheme[k]) << np.uint64(40)) + np.uint64(3))))
-    return (np.concatenate(out_doc), np.concatenate(out_sig)) if out_doc else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def common_shingles(docs: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Shingles in about ``share`` of the documents or more, counted over all of them.
-
-    At most (mean set size) / share shingles can be that common, so the list is
-    bounded whatever the number of documents. It only decides which part of
-    the domain is partitioned first, never what is found.
-    """
+def sizes_of(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint32).reshape(-1, 4)[:, 3].astype(np.int64)
 
-    def told(held: list[np.ndarray], docs_seen: int) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= max(2, share * docs_seen / 2)
-        return pa.RecordBatch.from_arrays([pa.array([None, *h[often].view(np.int64).tolist()], pa.int64()), pa.array([docs_seen, *n[often].tolist()], pa.int64())], ["h", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held, size = Sets(), [], 0
-        for (raws,) in _texts(batches, 0, flush=FLUSH_BYTES):
-            for raw in raws:
-                held.append(sets.of(raw))
-                size += len(held[-1])
-            if size >= COUNTED:
-                yield told(held, len(held))
-                held, size = [], 0
-        if held:
-            yield told(held, len(held))
+def _keys(*parts: bytes) -> np.ndarray:
+    """Class keys as rows of two 64-bit numbers."""
+    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+
 
-    got = docs.select(text_bytes()).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    got = stored(got)
-    total = got.where(F.col("h").isNull()).agg(F.sum("n")).first()[0] or 0
-    rows = got.where(F.col("h").isNotNull() & (F.col("n") >= max(8, share * total))).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+def signatures(sets: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, signature) of features that others share, for sets of ``size`` features in all."""
+    own_band = np.searchsorted(BANDS, size)
+    out_doc, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for step in (0, 1):
+        for band in np.unique(own_band).tolist():
+            who = np.flatnonzero(own_band == band)
+            doc, sig = _of_band([sets[k] for k in who.tolist()], size[who], band + step)
+            out_doc.append(who[doc])
+            out_sig.append(sig)
+    return np.concatenate(out_doc), np.concatenate(out_sig)
+
+
+def _of_band(sets: list[np.ndarray], size: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets under the scheme of one band."""
+    first, second, differ = scheme(band)
+    count = np.array([len(s) for s in sets], np.int64)
+    h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), count)
+    part = mix(h ^ _PART)
+    slot = (doc * first + (part % np.uint64(first)).astype(np.int64)) * second + (mix(part) % np.uint64(second)).astype(np.int64)
+    acc = np.zeros(len(sets) * first * second, np.uint64)
+    np.add.at(acc, slot, mix(h))
+    acc = acc.reshape(-1, second)
+    filled = np.bincount(slot, minlength=acc.size).reshape(-1, second) > 0
+    place = np.tile(np.arange(first, dtype=np.uint64), len(sets))
+    out_doc, out_sig = [], []
+    for number, chosen in enumerate(_subsets(second, differ)):
+        at = np.flatnonzero(filled[:, chosen].any(1))
+        sig = fold(place[at], np.full(len(at), np.uint64(band << 8 | number)))
+        for column in chosen:
+            sig = fold(sig, acc[at, column])
+        out_doc.append(at // first)
+        out_sig.append(sig)
+    # partitions whose every subset is filled, against the most that a partner in this band can differ in
+    useful = (filled.sum(1) > differ).reshape(len(sets), first).sum(1)
+    most = (size + np.minimum(BANDS[band], size * 4 // 3)) // 7 - (size - count)
+    for k in np.flatnonzero(useful * (differ + 1) <= most).tolist():
+        s = sets[k]
+        prefix = np.sort(mix(s))[: len(s) - (3 * int(size[k]) + 3) // 4 + 1]
+        out_doc.append(np.full(len(prefix), k))
+        out_sig.append(fold(prefix, np.full(len(prefix), np.uint64(band << 8 | 255))))
+    return np.concatenate(out_doc), np.concatenate(out_sig)
+
+
+EXCHANGE = "bucket int, key binary, doc_id long, text_hash long, n long, entries binary, keys binary, counts binary"
+FOUND = "dest int, key binary, doc_id long, text_hash long, n long, keys binary, counts binary, feats binary"
+STARS = "pivot binary, key binary, far boolean"
+ASKED = "bucket int, pivot binary, key binary, entries binary, keys binary, counts binary"
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-EXCHANGE = "bucket int, key binary, doc_id long, text_hash long, n long, sketch binary, sig binary, owner binary, keys binary, sizes binary"
-FOUND = "kind string, a binary, b binary, doc_id long, text_hash long, n long, sketch binary, members binary"
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in ddl.split(", ")])
 
 
 def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -204,229 +188,344 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
-
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins in a sorted array."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def _dealt(entries: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, entries with local owners, owners) of entries, each a 48-bit value over 16 bits of owner; only buckets that get any."""
+    bucket = ((entries >> _S16) % np.uint64(n)).astype(np.uint16 if n <= 65536 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, entries = bucket[order], entries[order]
+    cuts = [*np.flatnonzero(_starts(bucket)).tolist(), len(entries)]
+    local = np.zeros(65536, np.uint64)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = entries[a:b]
+        owner = (part & _OWNER).astype(np.int64)
+        here = np.flatnonzero(np.bincount(owner))
+        local[here] = np.arange(len(here), dtype=np.uint64)
+        if here[-1] == 0xFFFF:  # stands for several owners, which know already
+            local[0xFFFF] = _OWNER
+            here = here[:-1]
+        yield int(bucket[a]), (part >> _S16) << _S16 | local[owner], here
+
+
+def _marked(keys: np.ndarray, who: np.ndarray, feats: np.ndarray, n: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket of the classes, keys, numbers of features, features) of features found shared, for classes ``who``."""
+    if not len(who):
+        return
+    to = ((keys[:, 0] >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((who, to[who]))
+    who, feats = who[order], feats[order]
+    own = np.flatnonzero(_starts(who))
+    size = np.diff([*own, len(who)]).astype(np.uint32)
+    who, to = who[own], to[who[own]]
+    cuts = [*np.flatnonzero(_starts(to)).tolist(), len(who)]
+    ends = np.array([*own, len(feats)])
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(to[a]), keys[who[a:b]].tobytes(), size[a:b].tobytes(), feats[ends[a] : ends[b]].tobytes()
+
+
+def _scan(n: int):
+    """Texts to rows about documents, and features packed by bucket."""
 
-def _schema(ddl: str) -> pa.Schema:
-    return pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in ddl.split(", ")])
-
-
-def _send(n: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sets()
-        schema = _schema(EXCHANGE)
-        for ids, texts, raws in _texts(batches, 0, 1, 2, flush=FLUSH_BYTES):
-            sets, keys, rows = [], [], []
-            place: dict[bytes, int] = {}
-            for doc, th, raw in zip(ids, texts, raws, strict=True):
+        own, schema = Sets(), _schema(EXCHANGE)
+        for salt, (ids, hashes, raws) in enumerate(_texts(batches, 0, 1, 2, flush=FLUSH_BYTES, rows=BATCH_ROWS)):
+            rows: list[tuple] = []
+            sets: dict[bytes, np.ndarray] = {}
+            for k, (doc, th, raw) in enumerate(zip(ids, hashes, raws, strict=True)):
                 s = own.of(raw)
                 key = class_key(s)
-                fresh = len(s) and key not in place
-                if fresh:
-                    place[key] = len(sets)
-                    sets.append(s)
-                    keys.append(key)
-                rows.append((key[0] * 256 + key[1] if n > 256 else key[0], key, doc, th, len(s), sketch(s) if fresh else None, None, None, None, None))
-            rows = [(r[0] % n, *r[1:]) for r in rows]
-            owner, sig = signatures(sets, common)
-            bucket = ((sig >> np.uint64(34)) % np.uint64(n)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(n + 1))
-            sizes = np.array([len(s) for s in sets], np.uint32)
-            for b in range(n):
-                part = order[ends[b] : ends[b + 1]]
-                if len(part):
-                    who, local = np.unique(owner[part], return_inverse=True)
-                    rows.append((b, None, None, None, None, None, sig[part].astype(np.uint32).tobytes(), local.astype(np.uint32 if len(who) > 65535 else np.uint16).tobytes(), b"".join([keys[k] for k in who.tolist()]), sizes[who].tobytes()))
+                rows.append(((salt + k) % n, key, doc, th, len(s), None, None, None))
+                if len(s):
+                    sets[key] = s
+            if sets:
+                keys = _keys(*sets)
+                e = np.concatenate(list(sets.values())) << _S16
+                e |= np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets.values()])
+                e.sort()
+                f = e >> _S16
+                new = _starts(f)
+                count = np.diff([*np.flatnonzero(new), len(f)])
+                many = np.repeat(count > 1, count)
+                asked = np.concatenate([e[~many], f[new & many] << _S16 | _OWNER])
+                for bucket, entries, here in _dealt(asked, n):
+                    rows.append((bucket, None, None, None, None, entries.tobytes(), keys[here].tobytes(), None))
+                for k, (_, own_keys, counts, feats) in enumerate(_marked(keys, (e[many] & _OWNER).astype(np.int64), f[many], n)):
+                    rows.append(((salt + k) % n, None, None, None, None, feats, own_keys, counts))
             yield _arrow(rows, schema)
 
     return run
 
 
-def _pivot(size: np.ndarray) -> int:
-    """The place of the first member whose size fits the most others'."""
-    ranked = np.sort(size)
-    fits = np.searchsorted(ranked, size * 4 // 3, side="right") - np.searchsorted(ranked, (3 * size + 3) // 4, side="left")
-    return int(fits.argmax())
+def _shared(n: int):
+    """One bucket of features to those that two classes hold, packed by bucket of the classes; rows about documents pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        keys, values, owners, seen = [], [], [], 0
+        for r in table.to_pylist():
+            if r["key"] is not None:
+                rows.append((None, r["key"], r["doc_id"], r["text_hash"], r["n"], None, None, None))
+            elif r["counts"] is not None:
+                to = int((_keys(r["keys"])[0, 0] >> np.uint64(20)) % np.uint64(n))
+                rows.append((to, None, None, None, None, r["keys"], r["counts"], r["entries"]))
+            else:
+                e = np.frombuffer(r["entries"], np.uint64)
+                owner = (e & _OWNER).astype(np.int64)
+                values.append(e >> _S16)
+                owners.append(np.where(owner == 0xFFFF, -1, owner + seen))
+                keys.append(r["keys"])
+                seen += len(r["keys"]) // 16
+        if keys:
+            key, value, owner = _keys(*keys), np.concatenate(values), np.concatenate(owners)
+            values.clear()
+            order = np.argsort(value)
+            value, owner = value[order], owner[order]
+            count = np.diff([*np.flatnonzero(_starts(value)), len(value)])
+            some = np.repeat(count > 1, count)
+            value, owner = value[some], owner[some]
+            key, which = np.unique(key.view("V16").ravel(), return_inverse=True) if len(value) else (key, owner)
+            owner = np.where(owner < 0, -1, which[owner])  # copies in several batches are one class
+            order = np.lexsort((owner, value))
+            value, owner = value[order], owner[order]
+            twice = _starts(value) | _starts(owner)
+            value, owner = value[twice], owner[twice]
+            count = np.diff([*np.flatnonzero(_starts(value)), len(value)])
+            found = np.repeat(count > 1, count) & (owner >= 0)
+            for to, own_keys, counts, feats in _marked(key.view(np.uint64).reshape(-1, 2), owner[found], value[found], n):
+                rows.append((to, None, None, None, None, own_keys, counts, feats))
+        return pa.Table.from_batches([_arrow(rows, _schema(FOUND))])
 
+    return run
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Candidate pairs and large groups of one bucket; rows about documents pass."""
-    schema = _schema(FOUND)
-    out: list[tuple] = []
-    sig, cid, keys, sizes, seen = [], [], [], [], 0
-    for r in table.select([c for c in table.column_names if c != "bucket"]).to_pylist():
-        if r["key"] is not None:
-            out.append(("doc", r["key"], None, r["doc_id"], r["text_hash"], r["n"], r["sketch"], None))
-            continue
-        wide = len(r["keys"]) // 16 > 65535
-        sig.append(np.frombuffer(r["sig"], np.uint32))
-        cid.append(np.frombuffer(r["owner"], np.uint32 if wide else np.uint16) + np.uint32(seen))
-        keys.append(np.frombuffer(r["keys"], np.uint64).reshape(-1, 2))
-        sizes.append(np.frombuffer(r["sizes"], np.uint32))
-        seen += len(sizes[-1])
-    if sig:
-        k = np.concatenate(keys).byteswap()  # so that classes are in the order of their bytes
-        text = k.view([("x", np.uint64), ("y", np.uint64)]).ravel()
-        classes, which = np.unique(text, return_inverse=True)
-        size = np.zeros(len(classes), np.int64)
-        size[which] = np.concatenate(sizes)
-        entry = np.concatenate(sig).astype(np.uint64)
-        sig.clear()
-        entry <<= np.uint64(32)
-        entry |= which.astype(np.uint64)[np.concatenate(cid)]
-        cid.clear()
-        entry.sort()  # sorted in place, since buckets are what fills a worker's memory
-        entry = entry[np.concatenate([[True], entry[1:] != entry[:-1]])]
-        group = (entry >> np.uint64(32)).astype(np.uint32)
-        member = (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        count = np.diff([*first, len(entry)])
-        pairs = [np.zeros((0, 2), np.int64)]
-        for c in range(2, SMALL + 1):
-            m = member[first[count == c][:, None] + np.arange(c)]
-            x, y = np.triu_indices(c, 1)
-            pairs.append(np.stack([m[:, x].ravel(), m[:, y].ravel()], 1))
-        lists = set()
-        for f, c in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
-            m = member[f : f + c]
-            at = _pivot(size[m])
-            others = np.delete(m, at)
-            pairs.append(np.stack([np.minimum(m[at], others), np.maximum(m[at], others)], 1))
-            lists.add(np.concatenate([m[at : at + 1], others]).tobytes())
-        p = np.concatenate(pairs)
-        p = np.unique(p[:, 0] << 32 | p[:, 1])
-        x, y = p >> 32, p & 0xFFFFFFFF
-        fits = 4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y])
-        raw = [x.tobytes() for x in classes.view(np.uint64).reshape(-1, 2).byteswap()]
-        out += [("pair", raw[i], raw[j], None, None, None, None, None) for i, j in zip(x[fits].tolist(), y[fits].tolist(), strict=True)]
-        out += [("list", None, None, None, None, None, None, b"".join(raw[k] + int(size[k]).to_bytes(4, "big") for k in np.frombuffer(m, np.int64).tolist())) for m in lists]
-    return pa.Table.from_batches([_arrow(out, schema)])
-
-
-BOUNDS = "a binary, b binary, na long, nb long, lo long, hi long, maybe boolean"
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, na, nb, sketch_a, sketch_b to bounds of the difference."""
-    schema = _schema(BOUNDS)
-    for batch in batches:
-        rows = []
-        for a, b, na, nb, sa, sb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lo = max(least_difference(sa, sb), abs(na - nb))
-            rows.append((a, b, na, nb, lo, na + nb, 7 * lo <= na + nb))
-        yield _arrow(rows, schema)
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """Classes of which three quarters are shared, with the features that are."""
+    key = _keys(*table.column("keys").to_pylist())
+    key, which = np.unique(key.view("V16").ravel(), return_inverse=True)
+    size = sizes_of(key)
+    owner = np.repeat(which, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32))
+    feats = np.frombuffer(b"".join(table.column("feats").to_pylist()), np.uint64)
+    most = np.bincount(owner, minlength=len(key))
+    keep = (4 * most >= 3 * size)[owner]
+    owner, feats = owner[keep], feats[keep]
+    order = np.lexsort((feats, owner))
+    owner, feats = owner[order], feats[order]
+    new = _starts(owner) | _starts(feats)
+    owner, feats = owner[new], feats[new]
+    ends = np.searchsorted(owner, np.arange(len(key) + 1))
+    rows = [(key[k].tobytes(), int(size[k]), int(ends[k + 1] - ends[k]), feats[ends[k] : ends[k + 1]].tobytes()) for k in np.unique(owner).tolist() if 4 * (ends[k + 1] - ends[k]) >= 3 * size[k]]
+    return pa.Table.from_batches([_arrow(rows, _schema(SHARED))])
+
+
+SHARED = "key binary, n long, c long, feats binary"
+
+
+def _order(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Classes by the share of features of their own, then by key: the first of a group is its pivot."""
+    size = sizes_of(keys)
+    return np.lexsort((keys[:, 1], keys[:, 0], (size - shared) / size))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, zip_a, zip_b to the exact difference."""
-    schema = _schema(BOUNDS)
-    sets, unzip = Sets(), zstandard.ZstdDecompressor()
-    kept: dict[bytes, np.ndarray] = {}
+def _ask(n: int):
+    """Signatures of a batch of sets: pairs with the batch's own pivots, and an entry for each pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _schema(ASKED)
+        for salt, (raw_keys, raw_feats) in enumerate(_texts(batches, 0, 3, flush=SET_BYTES, rows=BATCH_ROWS)):
+            keys = _keys(*raw_keys)
+            sets = [np.frombuffer(x, np.uint64) for x in raw_feats]
+            count = np.array([len(s) for s in sets], np.int64)
+            rank = np.empty(len(sets), np.uint64)
+            rank[order := _order(keys, count)] = np.arange(len(sets), dtype=np.uint64)
+            doc, sig = signatures(sets, sizes_of(keys))
+            e = (sig >> _S16) << _S16 | rank[doc]
+            e = np.unique(e)
+            new = _starts(e >> _S16)
+            pivot = np.repeat(e[new] & _OWNER, np.diff([*np.flatnonzero(new), len(e)]))
+            pairs = np.unique((pivot << _S16 | (e & _OWNER))[~new]).astype(np.int64)
+            keys, count = keys[order], count[order].astype(np.uint32)
+            text = [x.tobytes() for x in keys]
+            rows = [((salt + k) % n, text[p >> 16], text[p & 0xFFFF], None, None, None) for k, p in enumerate(pairs.tolist())]
+            for bucket, entries, here in _dealt(e[new], n):
+                rows.append((bucket, None, None, entries.tobytes(), keys[here].tobytes(), count[here].tobytes()))
+            yield _arrow(rows, schema)
+
+    return run
 
-    def of(key: bytes, packed: bytes) -> np.ndarray:
-        got = kept.get(key)
-        if got is None:
-            if len(kept) > 2000:
-                kept.clear()
-            got = kept[key] = sets.of(unzip.decompress(packed))
-        return got
 
+def _meet(table: pa.Table) -> pa.Table:
+    """Pairs of the pivots of batches with the pivot over all (far); pairs within batches pass."""
+    rows: list[tuple] = []
+    keys, values, owners, counts, seen = [], [], [], [], 0
+    for r in table.to_pylist():
+        if r["pivot"] is not None:
+            rows.append((r["pivot"], r["key"], False))
+            continue
+        e = np.frombuffer(r["entries"], np.uint64)
+        values.append(e >> _S16)
+        owners.append((e & _OWNER).astype(np.int64) + seen)
+        keys.append(r["keys"])
+        counts.append(np.frombuffer(r["counts"], np.uint32))
+        seen += len(counts[-1])
+    if keys:
+        key, value, owner = _keys(*keys), np.concatenate(values), np.concatenate(owners)
+        order = _order(key, np.concatenate(counts))
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.arange(len(key))
+        owner = rank[owner]
+        by = np.lexsort((owner, value))
+        value, owner = value[by], owner[by]
+        new = _starts(value)
+        pivot = np.repeat(owner[new], np.diff([*np.flatnonzero(new), len(value)]))
+        pairs = np.unique((pivot << 32 | owner)[~new])
+        text = [x.tobytes() for x in key[order]]
+        rows += [(text[p >> 32], text[p & 0xFFFFFFFF], True) for p in pairs.tolist() if text[p >> 32] != text[p & 0xFFFFFFFF]]
+    return pa.Table.from_batches([_arrow(rows, _schema(STARS))])
+
+
+COMPARED = "pivot binary, key binary, differ long, linked boolean"
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pivot, key, pivot's features, key's features to their exact difference."""
+    schema = _schema(COMPARED)
     for batch in batches:
         rows = []
-        for a, b, za, zb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = of(a, za), of(b, zb)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            diff = len(x) + len(y) - 2 * both
-            rows.append((a, b, len(x), len(y), diff, diff, linked(both, len(x), len(y))))
+        for a, b, fa, fb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            na, nb = (int.from_bytes(k[12:], "little") for k in (a, b))
+            both = len(np.intersect1d(np.frombuffer(fa, np.uint64), np.frombuffer(fb, np.uint64), assume_unique=True))
+            rows.append((a, b, na + nb - 2 * both, linked(both, na, nb)))
         yield _arrow(rows, schema)
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        packed = pa.array([squeeze.compress(x) for x in batch.column(2).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "text_hash", "zip"])
-
-
-def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """BOUNDS of distinct pairs (a, b): by sketch, and exact where that may be a link. Stored."""
-    one = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    rough = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched, BOUNDS)
-    rough = stored(rough)
-    near = rough.where("maybe")
-    asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-    asked = asked.join(classes, "key").select("key", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("th"))
-    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes()).mapInArrow(_zip, "doc_id long, text_hash long, zip binary")
-    texts = source.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th"))).select("key", "zip").dropDuplicates(["key"])
-    texts = stored(texts)
-    whole = near.select("a", "b").join(texts.select(F.col("key").alias("b"), F.col("zip").alias("zb")), "b").join(texts.select(F.col("key").alias("a"), F.col("zip").alias("za")), "a")
-    exact = whole.select("a", "b", "za", "zb").mapInArrow(_verified, BOUNDS)
-    return stored(exact.unionByName(rough.where(~F.col("maybe"))))
-
-
-def _left_over(table: pa.Table) -> pa.Table:
-    """Pairs of a large group that neither components nor the triangle inequality settle."""
-    keys = table.column("key").to_pylist()
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    keys = [keys[k] for k in order]
-    lo, hi, size = (table.column(c).to_numpy()[order] for c in ("lo", "hi", "n"))
+def star_pairs(sets: DataFrame, n: int) -> DataFrame:
+    """(pivot, key): every set with the pivots of its signature groups."""
+    met = stored(sets.mapInArrow(_ask(n), ASKED).groupBy("bucket").applyInArrow(_meet, STARS))
+    near, far = met.where(~F.col("far")).select("pivot", "key"), met.where("far").select("pivot", "key").distinct()
+    # members of a batch's group belong to the group of that batch's pivot, too
+    carried = near.select(F.col("pivot").alias("via"), F.col("key").alias("member")).join(far.withColumnRenamed("key", "via"), "via").select("pivot", F.col("member").alias("key"))
+    return near.union(far).union(carried).where(F.col("pivot") != F.col("key")).distinct()
+
+
+def sketches(feats: list[np.ndarray], bits: int) -> np.ndarray:
+    """Parities of the features over ``bits`` bits, a power of two, as rows of words."""
+    out = np.zeros((len(feats), bits), np.uint8)
+    who = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    at = (mix(np.concatenate(feats) ^ _BIT) & np.uint64(bits - 1)).astype(np.int64)
+    np.add.at(out, (who, at), 1)
+    return np.packbits(out & 1, axis=1).view(np.uint64)
+
+
+LINKS = "a binary, b binary, similarity double"
+LISTED = "pivot binary, i int, j int, other boolean, key binary, comp binary, differ long, outside boolean, feats binary"
+
+
+def _block_links(rows: list[tuple]) -> list[tuple]:
+    """Links of members outside their pivot's component with others of the group, none within what is connected."""
+    asked = [r for r in rows if not r[0]]
+    rows = [r for r in rows if r[0]]
+    if not asked or not rows:
+        return []
+    feats = [np.frombuffer(r[5], np.uint64) for r in rows]
+    keys = [r[1] for r in rows]
+    size, count = sizes_of(_keys(*keys)), np.array([len(f) for f in feats])
+    bits = 1 << int(np.clip(4 * np.median(count), 64, 1 << 15) - 1).bit_length()
+    table = sketches(feats, bits)
+    ours = sketches([np.frombuffer(r[5], np.uint64) for r in asked], bits)
+    differ, outside = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
     names: dict[bytes, int] = {}
-    comp = np.array([names.setdefault(c, len(names)) for c in table.column("comp").to_pylist()])[order]
-    main = np.bincount(comp).argmax()
-    out: list[tuple[bytes, bytes]] = []
-    for i in np.flatnonzero(comp != main).tolist():
-        fits = (comp != comp[i]) & (4 * np.minimum(size[i], size) >= 3 * np.maximum(size[i], size))
-        fits &= (7 * (lo[i] - hi) <= size[i] + size) & (7 * (lo - hi[i]) <= size[i] + size)
-        fits[:i] &= comp[:i] == main  # pairs of two others come up once
-        out += [(keys[min(i, j)], keys[max(i, j)]) for j in np.flatnonzero(fits).tolist()]
-    return pa.Table.from_batches([_arrow(out, _schema("a binary, b binary"))])
-
-
-def more_pairs(lists: DataFrame, bounds: DataFrame, roots: DataFrame) -> DataFrame:
-    """What is left to compare in large groups after all that fit their pivot met it."""
-    size = lambda at: F.conv(F.hex(F.substr("members", at, F.lit(4))), 16, 10).cast("long")
-    cut = F.transform(F.sequence(F.lit(1), F.length("members") - 19, F.lit(20)), lambda k: F.struct(F.substr("members", k, F.lit(16)).alias("key"), size(k + 16).alias("n")))
-    each = lists.select(F.substring("members", 1, 16).alias("pivot"), size(F.lit(17)).alias("np"), F.inline(cut)).where(F.col("pivot") != F.col("key"))
-    each = each.distinct()  # groups with one pivot are taken together, so a pair comes up once for each of those
-    each = each.withColumns({"a": F.least("pivot", "key"), "b": F.greatest("pivot", "key")}).join(bounds.select("a", "b", "lo", "hi"), ["a", "b"], "left")
-    # members of too different sizes were not compared with the pivot: the sizes alone bound their difference
-    each = each.select("pivot", "key", "n", F.coalesce("lo", F.abs(F.col("n") - F.col("np"))).alias("lo"), F.coalesce("hi", F.col("n") + F.col("np")).alias("hi"))
-    root = roots.select(F.col("node").alias("key"), "root")
-    each = each.join(root, "key", "left").withColumn("comp", F.coalesce("root", "key"))
-    top = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    each = each.join(top, "pivot", "left").withColumn("same", F.col("comp") == F.coalesce("pivot_root", "pivot"))
-    mixed = each.groupBy("pivot").agg(F.min("same").alias("all_same")).where(~F.col("all_same")).select("pivot")
-    return each.join(mixed, "pivot").select("pivot", "key", "comp", "lo", "hi", "n").groupBy("pivot").applyInArrow(_left_over, "a binary, b binary").distinct()
+    comp = np.array([names.setdefault(r[2], len(names)) for r in rows])
+    order = {k: x for x, k in enumerate(sorted({*keys, *(r[1] for r in asked)}))}
+    place = np.array([order[k] for k in keys])
+    out = []
+    for (_, key, own, away, _, packed), sketch in zip(asked, ours, strict=True):
+        f = np.frombuffer(packed, np.uint64)
+        n = int.from_bytes(key[12:], "little")
+        mine = names.setdefault(own, len(names))
+        fits = (comp != mine) & (4 * np.minimum(size, n) >= 3 * np.maximum(size, n)) & (7 * np.abs(differ - away) <= size + n)
+        fits &= ~outside | (place > order[key])  # two that are both outside come up once
+        at = np.flatnonzero(fits)
+        least = (size[at] - count[at]) + (n - len(f)) + np.bitwise_count(table[at] ^ sketch).sum(1).astype(np.int64)
+        for k in at[7 * least <= size[at] + n].tolist():
+            if comp[k] == mine:
+                continue
+            both = len(np.intersect1d(f, feats[k], assume_unique=True))
+            if linked(both, n, int(size[k])):
+                out.append((min(key, keys[k]), max(key, keys[k]), both / (n + int(size[k]) - both)))
+                gone = comp[k]
+                comp[comp == gone] = mine
+                for name in [x for x, v in names.items() if v == gone]:
+                    names[name] = mine
+    return out
+
+
+def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LISTED rows, sorted by block, to the links of each block."""
+    schema = _schema(LINKS)
+    now, held = None, []
+    for batch in batches:
+        out = []
+        for *block, other, key, comp, differ, outside, feats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != now:
+                out += _block_links(held)
+                now, held = block, []
+            held.append((other, key, comp, differ, outside, feats))
+        yield _arrow(out, schema)
+    yield _arrow(_block_links(held), schema)
+
+
+def left_over_links(compared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links in groups of which some members are outside the pivot's component."""
+    each = compared.select("pivot", "key", "differ").join(roots.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key", "left")
+    each = each.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("top")), "pivot", "left")
+    each = each.join(sets.select("key", "c"), "key").withColumn("comp", F.coalesce("comp", "key")).withColumn("outside", F.col("comp") != F.coalesce("top", "pivot"))
+    each = stored(each.select("pivot", "key", "differ", "comp", "outside", "c"))
+    blocks = lambda size: F.ceil(F.coalesce(size, F.lit(0)) * 8 / BLOCK_BYTES).cast("int")
+    lists = each.groupBy("pivot").agg(F.count("*").alias("members"), blocks(F.sum(F.when(F.col("outside"), F.col("c")))).alias("across"), blocks(F.sum("c")).alias("down"))
+    lists = lists.where((F.col("members") > 1) & (F.col("across") > 0)).drop("members")
+    each = each.join(lists, "pivot").join(sets.select("key", "feats"), "key")
+    place = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [x.split()[0] for x in LISTED.split(", ")]
+    asked = each.where("outside").withColumns({"i": place(1, "across"), "other": F.lit(False)}).withColumn("j", all_of("down"))
+    others = each.withColumns({"j": place(2, "down"), "other": F.lit(True)}).withColumn("i", all_of("across"))
+    rows = asked.select(*columns).union(others.select(*columns)).repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    return rows.mapInArrow(_left_over, LINKS)
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_shingles, component_id) of every row, and the links (a, b) between classes.
+    """(doc_id, text_hash, n_shingles, component_id) of every row, and the links (a, b, similarity) between classes.
 
     Links hold the comparisons that were needed to connect what is connected:
     pairs that a path of other links joins already may be left out.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     n = bucket_count(docs, BUCKET_BYTES)
-    common = common_shingles(docs)
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes())
-    found = stored(source.mapInArrow(_send(n, common), EXCHANGE).groupBy("bucket").applyInArrow(_meet, FOUND))
-    rows = found.where("kind = 'doc'").select(F.col("a").alias("key"), "doc_id", "text_hash", "n", "sketch")
-    classes = stored(rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
-    bounds = compare(found.where("kind = 'pair'").select("a", "b").distinct(), classes, docs)
-    links = bounds.where("maybe")
+    found = stored(source.mapInArrow(_scan(n), EXCHANGE).groupBy("bucket").applyInArrow(_shared(n), FOUND))
+    rows = found.where("dest is null").select("key", "doc_id", "text_hash", "n")
+    sets = stored(found.where("dest is not null").select("dest", "keys", "counts", "feats").groupBy("dest").applyInArrow(_gathered, SHARED))
+    stars = star_pairs(sets, bucket_count(sets, BUCKET_BYTES, text="feats"))
+    one, two = sets.select(F.col("key").alias("pivot"), F.col("feats").alias("fp")), sets.select("key", F.col("feats").alias("fk"))
+    compared = stored(stars.join(two, "key").join(one, "pivot").select("pivot", "key", "fp", "fk").mapInArrow(_compared, COMPARED))
+    pair = {"a": F.least("pivot", "key"), "b": F.greatest("pivot", "key")}
+    size = sum((F.conv(F.hex(F.reverse(F.substring(x, 13, 4))), 16, 10).cast("long") for x in ("pivot", "key")), F.lit(0))
+    links = compared.where("linked").select(pair["a"].alias("a"), pair["b"].alias("b"), ((size - F.col("differ")) / (size + F.col("differ"))).alias("similarity")).distinct()
     roots = components(links)
-    lists = found.where("kind = 'list'").select("members")
-    more = stored(more_pairs(lists, bounds, roots))
+    more = stored(left_over_links(compared, sets, roots))
     if not more.isEmpty():
-        links = links.unionByName(compare(more, classes, docs).where("maybe"))
+        links = links.unionByName(more)
         roots = components(links)
-    named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), F.col("rep.doc_id").alias("rep"))
-    named = stored(named)
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    named = stored(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "rep"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stored(named.join(least, "root").select("key", "component_id"))
     out = rows.join(named, "key", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out, links.select("a", "b", (F.lit(1.0) - F.col("lo") / ((F.col("na") + F.col("nb") + F.col("lo")) / 2)).alias("similarity"))
+    return out, links

@@ -114,8 +114,8 @@ def _own(marks: list[tuple[int, bytes]], n: int, salt: int) -> list[tuple]:
     return [((k + salt) % n, None, None, np.array([doc], "<i8").tobytes(), value) for k, (doc, value) in enumerate(marks)]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], *columns: int, flush: int = FLUSH_BYTES) -> Iterator[tuple[list, ...]]:
-    """Columns of the batches, gathered up to about ``flush`` bytes of the last one."""
+def _texts(batches: Iterator[pa.RecordBatch], *columns: int, flush: int = FLUSH_BYTES, rows: int = 1 << 31) -> Iterator[tuple[list, ...]]:
+    """Columns of the batches, gathered up to about ``flush`` bytes of the last one, or ``rows`` rows."""
     held: tuple[list, ...] = tuple([] for _ in columns)
     size = 0
     for batch in batches:
@@ -124,7 +124,7 @@ def _texts(batches: Iterator[pa.RecordBatch], *columns: int, flush: int = FLUSH_
             for into, c in zip(held, columns, strict=True):
                 into += part.column(c).to_pylist()
             size += part.column(columns[-1]).nbytes
-            if size >= flush:
+            if size >= flush or len(held[0]) >= rows:
                 yield held
                 held, size = tuple([] for _ in columns), 0
     if held[0]:

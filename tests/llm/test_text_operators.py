@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessel.llm import disclosure, jaccard, language, quality, secrets, spans, substrings
@@ -80,7 +81,7 @@ def test_jaccard_join(corpus, corpus_df, empty_df, monkeypatch):
 
 
 def test_jaccard_join_of_large_groups(spark, monkeypatch):
-    """Groups beyond SMALL, whose members reach each other only through others."""
+    """A large group whose members reach each other only through others, in many blocks."""
     base = [f"w{i}" for i in range(60)]
     rows = []
     for i in range(14):
@@ -91,7 +92,7 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(20 + i, " ".join(base[:12] + [f"z{i}_{k}" for k in range(40)])) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 256)  # several blocks a group
     out, _ = jaccard.similar_groups(df)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
 
@@ -108,36 +109,33 @@ def test_jaccard_join_of_a_large_group_over_two_size_bands(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
 
 
-def test_left_over_pairs_of_members_that_do_not_fit_the_pivot(spark):
-    import numpy as np
-
-    key = lambda k: bytes([k]) * 16
-    size = {1: 100, 2: 140, 3: 150, 4: 101}
-    lists = spark.createDataFrame([(b"".join(key(k) + n.to_bytes(4, "big") for k, n in size.items()),)], "members binary")
-    bounds = spark.createDataFrame([(key(1), key(4), 100, 101, 90, 90, False)], jaccard.BOUNDS)
-    roots = spark.createDataFrame([], "node binary, root binary")
-    assert {(r["a"], r["b"]) for r in jaccard.more_pairs(lists, bounds, roots).collect()} == {(key(2), key(3))}
-    assert jaccard._pivot(np.array([101, 150, 130, 134, 156])) == 2 and jaccard._pivot(np.array([100, 140, 150, 180])) == 1
+def test_members_outside_the_pivots_component_find_each_other():
+    key = lambda k, n: bytes([k]) * 12 + n.to_bytes(4, "little")
+    rng = np.random.default_rng(1)
+    draw = lambda n: np.sort(rng.integers(1, 1 << 48, n)).astype(np.uint64)
+    a, own = draw(140), draw(10)
+    near = np.sort(np.concatenate([a[:-5], own[:5]]))
+    far = np.sort(np.concatenate([a[:80], draw(60)]))
+    row = lambda other, k, s, outside: (other, key(k, len(s)), key(k, len(s)), 60, outside, s.tobytes())
+    rows = [row(False, 1, a, True), row(False, 2, near, True)] + [row(True, k, s, True) for k, s in ((1, a), (2, near))] + [row(True, 3, far, False)]
+    assert [(x, y) for x, y, _ in jaccard._block_links(rows)] == [(key(1, 140), key(2, 140))]
 
 
 def test_signatures_meet_for_every_linked_pair():
     import random
 
-    import numpy as np
-
     rng = random.Random(9)
-    none = np.zeros(0, np.uint64)
-    for n in (1, 2, 3, 4, 5, 7, 12, 20, 33, 57, 90, 200):
-        for _ in range(25):
-            a = {rng.getrandbits(63) for _ in range(n)}
-            b = set(rng.sample(sorted(a), max(1, n - rng.randrange(n // 4 + 1)))) | {rng.getrandbits(63) for _ in range(rng.randrange(n // 4 + 1))}
+    for n in (1, 2, 3, 4, 5, 7, 12, 20, 33, 57, 90, 200, 700):
+        for _ in range(40):
+            a = {rng.getrandbits(48) for _ in range(n)}
+            b = set(rng.sample(sorted(a), max(1, n - rng.randrange(n // 4 + 1)))) | {rng.getrandbits(48) for _ in range(rng.randrange(n // 4 + 1))}
             if not jaccard.linked(len(a & b), len(a), len(b)):
                 continue
-            sets = [np.array(sorted(s), np.uint64) for s in (a, b)]
-            for common in (none, np.sort(sets[0])[::2]):
-                doc, sig = jaccard.signatures(sets, common)
-                assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (n, len(common))
-            assert jaccard.least_difference(jaccard.sketch(sets[0]), jaccard.sketch(sets[1])) <= len(a ^ b)
+            for own in (a, a & b):  # with all features, and with those alone that the pair shares
+                sets = [np.array(sorted(own), np.uint64), np.array(sorted(b if own is a else own), np.uint64)]
+                doc, sig = jaccard.signatures(sets, np.array([len(a), len(b)]))
+                assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), n
+    assert jaccard.scheme(0) == (1, 1, 0) and jaccard.scheme(20)[1:] == (5, 2)
 
 
 BASE3 = (
