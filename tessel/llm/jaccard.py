@@ -6,7 +6,8 @@ their sizes' sum, and share at least 3/4 of the larger. Both facts are used.
 First, features that no other set holds are counted out, by one exchange of
 all features: a set of which over a quarter is its own has no partner, and the
 features left of the others are all that partners can share. A feature that a
-batch finds in several of its sets is sent once for all of them.
+batch finds in several of its sets is sent once for all of them. (Copies in
+several batches count as several here, which lets more sets through.)
 
 Second, PartEnum on what is left. Sets are put in size bands. For each band
 the feature domain is cut into first-level partitions, so many that a linked
@@ -43,6 +44,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +101,7 @@ class Sets:
     """Shingle sets of texts as sorted arrays of hashes."""
 
     def __init__(self):
-        self.hashes = WordHashes(seed=5)
+        self.hashes = WordHashes(seed=5, most=250_000)
 
     def of(self, raw: bytes) -> np.ndarray:
         h = self.hashes.of(raw.lower().split())
@@ -171,8 +174,9 @@ def _of_band(sets: list[np.ndarray], size: np.ndarray, band: int) -> tuple[np.nd
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
-EXCHANGE = "bucket int, key binary, doc_id long, text_hash long, n long, entries binary, keys binary, counts binary"
-FOUND = "dest int, key binary, doc_id long, text_hash long, n long, keys binary, counts binary, feats binary"
+EXCHANGE = "bucket int, key binary, doc_id long, text_hash long, n long, batch long, entries binary, keys binary"
+FOUND = "key binary, doc_id long, text_hash long, n long, batch long, entries binary, keys binary"
+SHARED = "key binary, n long, c long, feats binary"
 STARS = "pivot binary, key binary, far boolean"
 ASKED = "bucket int, pivot binary, key binary, entries binary, keys binary, counts binary"
 
@@ -195,42 +199,27 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return new
 
 
-def _dealt(entries: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, entries with local owners, owners) of entries, each a 48-bit value over 16 bits of owner; only buckets that get any."""
+def _cut(by: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Beginning and end of each run of a sorted array."""
+    cuts = [*np.flatnonzero(_starts(by)).tolist(), len(by)]
+    return zip(cuts, cuts[1:], strict=False)
+
+
+def _dealt(entries: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, entries) of entries, each a 48-bit value over 16 bits of owner; only buckets that get any."""
     bucket = ((entries >> _S16) % np.uint64(n)).astype(np.uint16 if n <= 65536 else np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, entries = bucket[order], entries[order]
-    cuts = [*np.flatnonzero(_starts(bucket)).tolist(), len(entries)]
-    local = np.zeros(65536, np.uint64)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        part = entries[a:b]
-        owner = (part & _OWNER).astype(np.int64)
-        here = np.flatnonzero(np.bincount(owner))
-        local[here] = np.arange(len(here), dtype=np.uint64)
-        if here[-1] == 0xFFFF:  # stands for several owners, which know already
-            local[0xFFFF] = _OWNER
-            here = here[:-1]
-        yield int(bucket[a]), (part >> _S16) << _S16 | local[owner], here
-
-
-def _marked(keys: np.ndarray, who: np.ndarray, feats: np.ndarray, n: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(bucket of the classes, keys, numbers of features, features) of features found shared, for classes ``who``."""
-    if not len(who):
-        return
-    to = ((keys[:, 0] >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-    order = np.lexsort((who, to[who]))
-    who, feats = who[order], feats[order]
-    own = np.flatnonzero(_starts(who))
-    size = np.diff([*own, len(who)]).astype(np.uint32)
-    who, to = who[own], to[who[own]]
-    cuts = [*np.flatnonzero(_starts(to)).tolist(), len(who)]
-    ends = np.array([*own, len(feats)])
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(to[a]), keys[who[a:b]].tobytes(), size[a:b].tobytes(), feats[ends[a] : ends[b]].tobytes()
+    for a, b in _cut(bucket):
+        yield int(bucket[a]), entries[a:b]
 
 
 def _scan(n: int):
-    """Texts to rows about documents, and features packed by bucket."""
+    """Texts to rows about documents, and features packed by bucket.
+
+    A feature travels with its owner's place in the batch, and the batch by a
+    hash of its classes, so that what is found goes back to the batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, schema = Sets(), _schema(EXCHANGE)
@@ -244,86 +233,61 @@ def _scan(n: int):
                 if len(s):
                     sets[key] = s
             if sets:
-                keys = _keys(*sets)
+                keys = b"".join(sets)
+                name = xxhash.xxh3_64_intdigest(keys) >> 1
                 e = np.concatenate(list(sets.values())) << _S16
                 e |= np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets.values()])
+                sets.clear()
                 e.sort()
                 f = e >> _S16
                 new = _starts(f)
                 count = np.diff([*np.flatnonzero(new), len(f)])
                 many = np.repeat(count > 1, count)
-                asked = np.concatenate([e[~many], f[new & many] << _S16 | _OWNER])
-                for bucket, entries, here in _dealt(asked, n):
-                    rows.append((bucket, None, None, None, None, entries.tobytes(), keys[here].tobytes(), None))
-                for k, (_, own_keys, counts, feats) in enumerate(_marked(keys, (e[many] & _OWNER).astype(np.int64), f[many], n)):
-                    rows.append(((salt + k) % n, None, None, None, None, feats, own_keys, counts))
+                rows.append((name % n, None, None, None, None, name, e[many].tobytes(), keys))
+                for bucket, entries in _dealt(np.concatenate([e[~many], f[new & many] << _S16 | _OWNER]), n):
+                    rows.append((bucket, None, None, None, None, name, entries.tobytes(), None))
             yield _arrow(rows, schema)
 
     return run
 
 
-def _shared(n: int):
-    """One bucket of features to those that two classes hold, packed by bucket of the classes; rows about documents pass."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        keys, values, owners, seen = [], [], [], 0
-        for r in table.to_pylist():
-            if r["key"] is not None:
-                rows.append((None, r["key"], r["doc_id"], r["text_hash"], r["n"], None, None, None))
-            elif r["counts"] is not None:
-                to = int((_keys(r["keys"])[0, 0] >> np.uint64(20)) % np.uint64(n))
-                rows.append((to, None, None, None, None, r["keys"], r["counts"], r["entries"]))
-            else:
-                e = np.frombuffer(r["entries"], np.uint64)
-                owner = (e & _OWNER).astype(np.int64)
-                values.append(e >> _S16)
-                owners.append(np.where(owner == 0xFFFF, -1, owner + seen))
-                keys.append(r["keys"])
-                seen += len(r["keys"]) // 16
-        if keys:
-            key, value, owner = _keys(*keys), np.concatenate(values), np.concatenate(owners)
-            values.clear()
-            order = np.argsort(value)
-            value, owner = value[order], owner[order]
-            count = np.diff([*np.flatnonzero(_starts(value)), len(value)])
-            some = np.repeat(count > 1, count)
-            value, owner = value[some], owner[some]
-            key, which = np.unique(key.view("V16").ravel(), return_inverse=True) if len(value) else (key, owner)
-            owner = np.where(owner < 0, -1, which[owner])  # copies in several batches are one class
-            order = np.lexsort((owner, value))
-            value, owner = value[order], owner[order]
-            twice = _starts(value) | _starts(owner)
-            value, owner = value[twice], owner[twice]
-            count = np.diff([*np.flatnonzero(_starts(value)), len(value)])
-            found = np.repeat(count > 1, count) & (owner >= 0)
-            for to, own_keys, counts, feats in _marked(key.view(np.uint64).reshape(-1, 2), owner[found], value[found], n):
-                rows.append((to, None, None, None, None, own_keys, counts, feats))
-        return pa.Table.from_batches([_arrow(rows, _schema(FOUND))])
-
-    return run
+def _shared(table: pa.Table) -> pa.Table:
+    """One bucket of features to those that two classes hold, packed by batch; rows about documents and batches pass."""
+    schema = _schema(FOUND)
+    asks = pc.and_(pc.is_null(table["key"]), pc.is_null(table["keys"]))
+    rest = table.filter(pc.invert(asks)).select(schema.names)
+    table = table.filter(asks).select(["batch", "entries"])
+    rows: list[tuple] = []
+    if table.num_rows:
+        name = table["batch"].to_numpy()
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["entries"]]
+        e, batch = np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.uint32), [len(x) for x in each])
+        order = np.argsort(e)
+        e, batch = e[order], batch[order]
+        f = e >> _S16
+        count = np.diff([*np.flatnonzero(_starts(f)), len(f)])
+        found = np.repeat(count > 1, count) & ((e & _OWNER) != _OWNER)  # the place of all ones stands for owners that know already
+        e, batch = e[found], batch[found]
+        order = np.argsort(batch, kind="stable")
+        e, batch = e[order], batch[order]
+        rows = [(None, None, None, None, int(name[batch[a]]), e[a:b].tobytes(), None) for a, b in _cut(batch)] if len(e) else []
+    return pa.concat_tables([rest.cast(schema), pa.Table.from_batches([_arrow(rows, schema)])])
 
 
 def _gathered(table: pa.Table) -> pa.Table:
-    """Classes of which three quarters are shared, with the features that are."""
-    key = _keys(*table.column("keys").to_pylist())
-    key, which = np.unique(key.view("V16").ravel(), return_inverse=True)
+    """The classes of one batch of which three quarters are shared, with the features that are."""
+    key = _keys(next(x for x in table["keys"].to_pylist() if x is not None))
     size = sizes_of(key)
-    owner = np.repeat(which, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32))
-    feats = np.frombuffer(b"".join(table.column("feats").to_pylist()), np.uint64)
-    most = np.bincount(owner, minlength=len(key))
-    keep = (4 * most >= 3 * size)[owner]
-    owner, feats = owner[keep], feats[keep]
+    e = np.frombuffer(b"".join(table["entries"].to_pylist()), np.uint64)
+    owner = (e & _OWNER).astype(np.int64)
+    keep = (4 * np.bincount(owner, minlength=len(key)) >= 3 * size)[owner]
+    owner, feats = owner[keep], (e >> _S16)[keep]
     order = np.lexsort((feats, owner))
     owner, feats = owner[order], feats[order]
-    new = _starts(owner) | _starts(feats)
+    new = _starts(owner) | _starts(feats)  # a batch that occurs twice says all of it twice
     owner, feats = owner[new], feats[new]
-    ends = np.searchsorted(owner, np.arange(len(key) + 1))
-    rows = [(key[k].tobytes(), int(size[k]), int(ends[k + 1] - ends[k]), feats[ends[k] : ends[k + 1]].tobytes()) for k in np.unique(owner).tolist() if 4 * (ends[k + 1] - ends[k]) >= 3 * size[k]]
-    return pa.Table.from_batches([_arrow(rows, _schema(SHARED))])
-
-
-SHARED = "key binary, n long, c long, feats binary"
+    rows = [(key[owner[a]].tobytes(), int(size[owner[a]]), b - a, feats[a:b].tobytes()) for a, b in _cut(owner)] if len(owner) else []
+    return pa.Table.from_batches([_arrow([r for r in rows if 4 * r[2] >= 3 * r[1]], _schema(SHARED))])
 
 
 def _order(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -352,8 +316,9 @@ def _ask(n: int):
             keys, count = keys[order], count[order].astype(np.uint32)
             text = [x.tobytes() for x in keys]
             rows = [((salt + k) % n, text[p >> 16], text[p & 0xFFFF], None, None, None) for k, p in enumerate(pairs.tolist())]
-            for bucket, entries, here in _dealt(e[new], n):
-                rows.append((bucket, None, None, entries.tobytes(), keys[here].tobytes(), count[here].tobytes()))
+            for bucket, entries in _dealt(e[new], n):
+                here, local = np.unique((entries & _OWNER).astype(np.int64), return_inverse=True)
+                rows.append((bucket, None, None, ((entries >> _S16) << _S16 | local.astype(np.uint64)).tobytes(), keys[here].tobytes(), count[here].tobytes()))
             yield _arrow(rows, schema)
 
     return run
@@ -509,9 +474,10 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     n = bucket_count(docs, BUCKET_BYTES)
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes())
-    found = stored(source.mapInArrow(_scan(n), EXCHANGE).groupBy("bucket").applyInArrow(_shared(n), FOUND))
-    rows = found.where("dest is null").select("key", "doc_id", "text_hash", "n")
-    sets = stored(found.where("dest is not null").select("dest", "keys", "counts", "feats").groupBy("dest").applyInArrow(_gathered, SHARED))
+    found = stored(source.mapInArrow(_scan(n), EXCHANGE).groupBy("bucket").applyInArrow(_shared, FOUND))
+    rows = found.where("batch is null").select("key", "doc_id", "text_hash", "n")
+    sets = found.where("batch is not null").select("batch", "entries", "keys").groupBy("batch").applyInArrow(_gathered, SHARED)
+    sets = stored(sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "c", "feats")]))  # copies in several batches have equal rows
     stars = star_pairs(sets, bucket_count(sets, BUCKET_BYTES, text="feats"))
     one, two = sets.select(F.col("key").alias("pivot"), F.col("feats").alias("fp")), sets.select("key", F.col("feats").alias("fk"))
     compared = stored(stars.join(two, "key").join(one, "pivot").select("pivot", "key", "fp", "fk").mapInArrow(_compared, COMPARED))
