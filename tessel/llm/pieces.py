@@ -16,8 +16,11 @@ operator adds.
 
 from __future__ import annotations
 
+import codecs
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -54,9 +57,10 @@ class PieceCodec:
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model) if kind == 6}
         if any(BLANK in p.lstrip(BLANK) for p in self.id_of) or len(self.byte_id) != 256:
             raise ValueError("the model has pieces that cross a blank, or no byte fallback")
+        self.chars = frozenset(p for p in self.id_of if len(p) == 1)
         self.trie = ahocorasick.Automaton()
         for p, i in self.id_of.items():
-            self.trie.add_word(p, (len(p), i))
+            self.trie.add_word(p, (len(p) - 1, i))
         self.trie.make_automaton()
         #: The next shorter token that begins a token, -1 if none.
         self.shorter = {i: next((self.id_of[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id_of), -1) for p, i in self.id_of.items()}
@@ -97,13 +101,13 @@ class PieceCodec:
 
     def known(self, text: str) -> list[int] | None:
         """Ids of a text of which every character is in the vocabulary."""
+        whole = self.id_of.get(text)
+        if whole is not None:
+            return [whole]  # the longest match at the start, with nothing before it
         n = len(text)
         longest = [-1] * n
-        covered = [0] * n
-        for end, (size, token) in self.trie.iter(text):
-            start = end - size + 1
-            if size > covered[start]:
-                covered[start], longest[start] = size, token
+        for end, (back, token) in self.trie.iter(text):  # by end, so the longest match of a start comes last
+            longest[end - back] = token
         size, shorter, pairs = self.size, self.shorter, self.pairs
         alive = bytearray(b"\x01") * (n + 1)
         tokens: list[int] = []
@@ -137,7 +141,9 @@ class PieceCodec:
 
     def ids_of_cut(self, text: str) -> list[int]:
         """Ids of blanks and what follows up to the next blank."""
-        if all(c in self.id_of for c in text):
+        if self.chars.issuperset(text):
+            if text[1:2] != BLANK and (got := self.known(text)) is not None:
+                return got
             parts = [text]
         else:
             parts = re.split("([" + "".join(re.escape(c) for c in {c for c in text if c not in self.id_of}) + "])", text)
@@ -177,7 +183,7 @@ class PieceCodec:
         """Ids of a cut, as little-endian 32-bit bytes; cut has its leading blanks but one."""
         got = self.older.get(cut)
         if got is None:
-            got = np.array(self.ids_of_cut(BLANK + cut.decode("utf-8", "replace").replace(" ", BLANK)), "<i4").tobytes()
+            got = array("i", self.ids_of_cut(BLANK + cut.decode("utf-8", "replace").replace(" ", BLANK))).tobytes()
         if len(self.cuts) >= self.most:
             self.older, self.cuts = self.cuts, _Kept(self)
         if len(cut) <= 64:
@@ -226,12 +232,12 @@ class PieceCodec:
         return "".join(out)
 
 
+codecs.register_error("tessel-each-byte", lambda e: ("�", e.start + 1))
+
+
 def bytes_text(data: bytes) -> str:
     """UTF-8 with one replacement character for every byte that belongs to no character."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError as e:
-        return data[: e.start].decode() + "�" + bytes_text(data[e.start + 1 :])
+    return data.decode("utf-8", "tessel-each-byte")
 
 
 class _Kept(dict):
@@ -243,6 +249,34 @@ class _Kept(dict):
         return self.codec._ids(cut)
 
 
+@cache
+def codec(path: str) -> PieceCodec:
+    """One codec a Python worker, with the words it has seen lately."""
+    return PieceCodec(path)
+
+
+def _array_of(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def recode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of ``text`` (end id included) and the text they decode to, in place of it; null as empty."""
+    prepare(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in (text, ids, out)]
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids, T.ArrayType(T.IntegerType())).add(out, "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path)
+        for batch in batches:
+            coded = [own.encode_bytes(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [own.decode(np.frombuffer(x, "<i4")) for x in coded]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _array_of(coded), pa.array(texts, pa.string())], [*kept, ids, out])
+
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    return docs.select(*[F.col(f"`{c}`") for c in kept], raw.alias("__raw")).mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` (end id included) in place of it; null as empty."""
     prepare(docs.sparkSession)
@@ -250,12 +284,10 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path)
+        own = codec(model_path)
         for batch in batches:
-            ids = [codec.encode_bytes(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], [*kept, out])
+            ids = [own.encode_bytes(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _array_of(ids)], [*kept, out])
 
     raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     return docs.select(*[F.col(f"`{c}`") for c in kept], raw.alias("__raw")).mapInArrow(run, schema)
@@ -269,9 +301,9 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decod
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path)
+        own = codec(model_path)
         for batch in batches:
-            texts = [codec.decode(x.values.to_numpy() if x.is_valid else []) for x in batch.column(at)]
+            texts = [own.decode(x.values.to_numpy() if x.is_valid else []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, out])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

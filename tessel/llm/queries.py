@@ -86,7 +86,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     model = tokenizer_file("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs, model), model)
+    coded = pieces.recode(docs, model)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

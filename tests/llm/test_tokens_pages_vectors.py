@@ -40,6 +40,7 @@ def test_bytes_that_are_no_text_decode_like_the_library(model):
     for data in (b"\xff", b"\xc3", b"ok\xe2\x82", b"\xf0\x9f\x98\x80\xff"):
         ids = [codec.byte_id[b] for b in data]
         assert codec.decode(ids) == lib.decode(ids)
+    assert codec.decode([codec.byte_id[0xFF]] * 20_000) == "�" * 20_000
 
 
 def test_encoding_of_frames(spark, model):
@@ -47,6 +48,9 @@ def test_encoding_of_frames(spark, model):
     out = pieces.decode(pieces.encode(df, model), model)
     assert sorted((r["doc_id"], r["decoded"]) for r in out.collect()) == [(1, ""), (2, ""), (3, "héllo wörld ☃"), (3, "héllo wörld ☃")]
     assert pieces.encode(df.limit(0), model).count() == 0
+    both = pieces.recode(df, model)
+    assert both.columns == ["doc_id", "ids", "decoded"] and pieces.recode(df.limit(0), model).count() == 0
+    assert sorted((r["doc_id"], r["ids"], r["decoded"]) for r in both.collect()) == sorted((r["doc_id"], r["ids"], r["decoded"]) for r in out.collect())
 
 
 def test_chunks_equal_the_tokenizer():
