@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def hashed(*parts: Column) -> Column:
+    """52 bits of the MD5 of the parts joined by underscores: a hash that other engines can compute too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("_", *parts)), 1, 13), 16, 10).cast("long")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the folder in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """Uses the folder in ``spark.checkpoint.dir``; a temporary one only in local mode, where none is set."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessel-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessel-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    ensure_checkpoints(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str = "row_id") -> DataFrame:

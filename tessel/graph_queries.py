@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.expressions import type_prefix
+from .functions.numbering import shared_folder
 from .operators import build, dml, hops, metrics, neighbors, rows, search, stats
 from .plans import engine
-from .sources import ldbc, synthetic
-from .sources.triples import split_raw, star_triples
+from .sources import ldbc, synthetic, tables
+from .sources.triples import read_tsv, split_raw, star_triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,7 +68,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _edges(spark, sf_dir)
-    return build.with_row_ids(build.adjacency(build.nodes(e), e, build.cluster_by_type()))
+    return build.adjacency_index(build.nodes(e), e, build.cluster_by_type())
 
 
 # --- sources and construction
@@ -120,7 +121,7 @@ def cluster_by_community(spark, sf_dir):
     return c.groupBy(build.cluster_by_community().alias("cluster_id")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT 'hash::' || (('0x' || substr(md5(node_id), 1, 13))::BIGINT % 16) AS cluster_id, count(*) AS n FROM nodes GROUP BY 1", "nodes")
 def cluster_by_hash(spark, sf_dir):
     return build.nodes(_edges(spark, sf_dir)).groupBy(build.cluster_by_hash(16).alias("cluster_id")).agg(F.count("*").alias("n"))
 
@@ -474,7 +475,7 @@ def seed_quantiles(spark, sf_dir):
     return got.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.min("low_cutoff"), 6).alias("low_cutoff"), F.round(F.min("mid_cutoff"), 6).alias("mid_cutoff"))
 
 
-@query()
+@query(f"WITH {_DEGREE} SELECT node FROM degree ORDER BY ('0x' || substr(md5(node || '_42'), 1, 13))::BIGINT, node LIMIT 20")
 def seed_sample(spark, sf_dir):
     return stats.sampled_seeds(stats.degrees(star_triples(spark, sf_dir)), 20)
 
@@ -541,10 +542,10 @@ def upsert_partial_columns(spark, sf_dir):
     return dml.upsert(target, source.select("id", "col_b"))
 
 
-@query("SELECT 'left' AS side, node FROM (SELECT 'nation:' || c_nationkey AS node FROM customer EXCEPT SELECT 'nation:' || s_nationkey FROM supplier) UNION ALL SELECT 'right', node FROM (SELECT 'nation:' || s_nationkey AS node FROM supplier EXCEPT SELECT 'nation:' || c_nationkey FROM customer)", raw=True)
+@query("WITH a AS (SELECT 'nation:' || c_nationkey AS node FROM customer WHERE c_acctbal < 0), b AS (SELECT 'nation:' || s_nationkey AS node FROM supplier WHERE s_acctbal > 5000) SELECT 'left' AS side, node FROM (SELECT node FROM a EXCEPT SELECT node FROM b) UNION ALL SELECT 'right', node FROM (SELECT node FROM b EXCEPT SELECT node FROM a)", raw=True)
 def set_difference(spark, sf_dir):
-    n = lambda t, c: _table(spark, sf_dir, t).select(F.concat(F.lit("nation:"), F.col(c).cast("string")).alias("node"))
-    return metrics.difference(n("customer", "c_nationkey"), n("supplier", "s_nationkey"))
+    n = lambda t, c, where: _table(spark, sf_dir, t).where(where).select(F.concat(F.lit("nation:"), F.col(c).cast("string")).alias("node"))
+    return metrics.difference(n("customer", "c_nationkey", "c_acctbal < 0"), n("supplier", "s_nationkey", "s_acctbal > 5000"))
 
 
 # --- search
@@ -662,14 +663,26 @@ def engine_comparison(spark, sf_dir):
     return got.select("query_type", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), F.round("stdev_a", 6).alias("stdev_a"), "speed_up")
 
 
-@query()
+_RECORD = "'tessel' AS engine, '{}' AS query_type, '{}' AS seed, {} AS k, {} AS batch_size, count(*)::INT AS result_count, true AS success, NULL::VARCHAR AS error_message"
+
+
+@query(f"""SELECT {_RECORD.format("neighbor", CUSTOMER, "NULL::INT", "NULL::INT")} FROM triples WHERE head = '{CUSTOMER}'
+  UNION ALL SELECT {_RECORD.format("k_hop", CUSTOMER, 2, "NULL")} FROM (SELECT tail FROM triples WHERE head = '{CUSTOMER}' UNION SELECT b.tail FROM triples a JOIN triples b ON b.head = a.tail WHERE a.head = '{CUSTOMER}') WHERE tail <> '{CUSTOMER}'
+  UNION ALL SELECT {_RECORD.format("batch_neighbor", ",".join(BATCH), "NULL", len(BATCH))} FROM (SELECT DISTINCT seed_pos, tail FROM triples JOIN (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(BATCH))}) v(seed_pos, seed) ON head = seed)""")
 def engine_workloads(spark, sf_dir):
-    """The default workloads on the engine, as result rows."""
+    """The three kinds of workload on the engine, as result rows without their times."""
     e = engine.GraphEngine(star_triples(spark, sf_dir))
-    return engine.execute(e, [engine.NeighborQuery(CUSTOMER), engine.KHopQuery(CUSTOMER, 2), engine.BatchNeighborQuery(tuple(BATCH))], warm_up=0, measured=1)
+    return engine.execute(e, [engine.NeighborQuery(CUSTOMER), engine.KHopQuery(CUSTOMER, 2), engine.BatchNeighborQuery(tuple(BATCH))], warm_up=0, measured=1).drop("time_ms")
+
 
+def _drawn(seed: int) -> str:
+    return f"('0x' || substr(md5(id || '_{seed}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 
-@query()
+
+@query(f"""WITH d AS (SELECT floor({_drawn(8)} * 2000)::BIGINT AS h, floor({_drawn(9)} * 2000)::BIGINT AS t0, floor({_drawn(10)} * 16)::BIGINT AS r, {_drawn(11)} AS inside FROM range(10000) x(id)),
+  e AS (SELECT h, r, inside, t0, t0 - t0 % 5 + h % 5 AS n0 FROM d), f AS (SELECT h, r, t0, inside, CASE WHEN n0 < 2000 THEN n0 ELSE n0 - 5 END AS n FROM e),
+  g AS (SELECT h, r, CASE WHEN inside < 0.9 AND n >= 0 THEN n ELSE t0 END AS t FROM f)
+  SELECT 'type' || (h % 8) AS head_type, 'type' || (h % 8) || ':node_' || h AS head, 'rel_' || r AS relation, 'type' || (t % 8) AS tail_type, 'type' || (t % 8) || ':node_' || t AS tail FROM g""", raw=True)
 def synthetic_graph(spark, sf_dir):
     return synthetic.graph(spark, 2000, 10_000, relations=16, types=8, mode="community", communities=5, intra_ratio=0.9, seed=7)
 
@@ -724,8 +737,108 @@ def json_adjacency_whole(spark, sf_dir):
     return build.json_adjacency(rows.with_row_id(star_triples(spark, sf_dir), ["relation", "head", "tail"]))
 
 
-@query("SELECT cluster_id, count(*) AS n, min(node_id) AS first_node FROM adj GROUP BY 1", "adj")
+@query("SELECT cluster_id, count(*) AS n, min(node_id) AS first_node, 1::BIGINT AS parts, 0::BIGINT AS out_of_order FROM adj GROUP BY 1", "adj")
 def cluster_layout_nodes(spark, sf_dir):
-    """The node table laid out by cluster before a write."""
-    laid = build.laid_out(_adjacency(spark, sf_dir), 4)
-    return laid.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"))
+    """The node table laid out by cluster before a write: each cluster lies in one part, and its rows in row-id order."""
+    laid = build.laid_out(_adjacency(spark, sf_dir), 4).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("physical_row_id").over(Window.partitionBy("part", "cluster_id").orderBy("at"))
+    laid = laid.withColumn("late", F.when(before > F.col("physical_row_id"), 1).otherwise(0))
+    return laid.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"), F.countDistinct("part").alias("parts"), F.sum("late").alias("out_of_order"))
+
+
+@query("""SELECT a.physical_row_id, 'out' AS direction, e.pos // 4096 AS chunk, string_agg(b.physical_row_id::VARCHAR, ',' ORDER BY e.pos) AS ids FROM edges e JOIN adj a ON a.node_id = e.head JOIN adj b ON b.node_id = e.tail GROUP BY 1, 2, 3
+  UNION ALL SELECT a.physical_row_id, 'in', e.pos // 4096, string_agg(b.physical_row_id::VARCHAR, ',' ORDER BY e.pos) FROM edges e JOIN adj a ON a.node_id = e.tail JOIN adj b ON b.node_id = e.head GROUP BY 1, 2, 3""", "adj")
+def adjacency_chunks(spark, sf_dir):
+    """Neighbour lists in bounded pieces, for hubs whose list fits no row."""
+    e = _edges(spark, sf_dir)
+    got = build.adjacency_chunks(build.nodes(e), e, build.cluster_by_type(), 4096)
+    return got.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+_CYCLE = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "a"), ("a", "b"), ("c", "d"), ("x", "y")]
+
+
+@query("""WITH RECURSIVE e AS (SELECT row_number() OVER () AS id, * FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in _CYCLE) + """) v(s, d)),
+  w(origin, node, used, h) AS (SELECT s, d, [id], 1 FROM e UNION ALL SELECT w.origin, e.d, list_append(w.used, e.id), w.h + 1 FROM w JOIN e ON e.s = w.node AND NOT list_contains(w.used, e.id) WHERE w.h < 10)
+  SELECT n.node, coalesce(max(w.h), 0)::INT AS max_hop FROM (SELECT s AS node FROM e UNION SELECT d FROM e) n LEFT JOIN w ON w.origin = n.node GROUP BY 1""", raw=True)
+def max_hop_cyclic(spark, sf_dir):
+    """Longest trails in a small graph with a cycle, a loop and a parallel edge."""
+    t = spark.createDataFrame([("n", a, "r", "n", b) for a, b in _CYCLE], "head_type string, head string, relation string, tail_type string, tail string")
+    return hops.max_hops(t)
+
+
+@query("SELECT 3 AS n, count(*) AS nodes, 3 AS query_count, 3 AS take_row_ids_count, 6 AS total_operations FROM (" + _bfs(CUSTOMER, 3, where="depth = 3") + ")", "triples")
+def counted_hop3(spark, sf_dir):
+    """The counters of an exact three-hop lookup."""
+    found, counted = hops.counted_hops(star_triples(spark, sf_dir), neighbors.seeds(spark, [CUSTOMER]), 3, _lookup(spark, sf_dir))
+    return found.agg(F.count("*").alias("nodes")).select(F.lit(3).alias("n"), "nodes", *[F.lit(v).alias(k) for k, v in counted.items()])
+
+
+# --- files: tables written to the shared folder in other formats, and read back
+
+
+def _folder(spark, name: str) -> str:
+    from uuid import uuid4
+
+    return f"{shared_folder(spark)}/tessel-files/{name}-{uuid4().hex}"
+
+
+@query("SELECT head_type, head, relation, tail_type, tail FROM triples")
+def tsv_triples(spark, sf_dir):
+    """Triples from tab-separated text with a header."""
+    path = _folder(spark, "tsv")
+    star_triples(spark, sf_dir).write.csv(path, sep="\t", header=True, quote="", escapeQuotes=False)
+    return read_tsv(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_index, n_nationkey::VARCHAR AS key__0, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_regionkey::VARCHAR END AS key__1, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END AS name FROM nation", raw=True)
+def ragged_rows(spark, sf_dir):
+    """Pipe-separated rows with a repeated name, of which some are short, some long and some blank."""
+    path = _folder(spark, "ragged")
+    n = _table(spark, sf_dir, "nation")
+    line = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey").cast("string")).when(F.col("n_nationkey") % 3 == 1, F.concat_ws("|", "n_nationkey", "n_regionkey", "n_name", F.lit("over"))).otherwise(F.concat_ws("|", "n_nationkey", "n_regionkey", "n_name"))
+    body = n.select((F.col("n_nationkey") + 1).alias("at"), line.alias("value")).union(n.where("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 1).alias("at"), F.lit("  ")))
+    body.union(spark.createDataFrame([(0, "key|key|name")], "at int, value string")).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return ldbc.read_ragged(spark, path)
+
+
+@query("SELECT 'customer:' || o_custkey || '-placed->order:' || o_orderkey || '#' || (row_number() OVER (ORDER BY o_orderkey) - 1) AS edge_id, 'customer:' || o_custkey AS src_id, 'order:' || o_orderkey AS dst_id, 'placed' AS edge_type, 'customer' AS src_type, 'order' AS dst_type, '{\"status\":\"' || o_orderstatus || '\"}' AS attrs_json FROM orders", raw=True)
+def ldbc_edge_rows(spark, sf_dir):
+    """Normalised edges of an edge file, with the other columns as attributes."""
+    o = rows.with_row_id(_table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("from"), F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("to"), F.col("o_orderstatus").alias("status")), ["k"], "row_index").drop("k")
+    return ldbc.edge_rows(o, ldbc.EdgeFile("", "placed", "customer", "order", "from", "to"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events UNION ALL SELECT event_id, user_id, event_type FROM events WHERE event_id < 10", raw=True)
+def jsonl_rows(spark, sf_dir):
+    """Rows appended to JSON lines twice, and read back."""
+    path, e = _folder(spark, "jsonl"), _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    tables.append_jsonl(e, path)
+    tables.append_jsonl(e.where("event_id < 10"), path)
+    return spark.read.schema(e.schema).json(path)
+
+
+@query(f"WITH {_RES} SELECT 'tessel' AS engine, query_type, seed, k, NULL::INT AS batch_size, time_ms, result_count, success, NULL::VARCHAR AS error_message FROM r", raw=True)
+def result_csv(spark, sf_dir):
+    """Result records written as CSV with a header and read with their schema."""
+    path = _folder(spark, "results")
+    tables.write_results(_results(spark, sf_dir).drop("seed_group"), path)
+    return tables.read_results(spark, path)
+
+
+@query("SELECT 'part' AS name, (SELECT count(*) FROM part) AS rows, min(p_partkey) AS first, max(p_partkey) AS last FROM (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 5)", raw=True)
+def catalogue_table(spark, sf_dir):
+    """A table created, appended to, compacted, counted and headed by way of the catalogue."""
+    c, p = tables.Catalogue(spark, _folder(spark, "catalogue")), _table(spark, sf_dir, "part").select("p_partkey")
+    c.create("gone", p, "overwrite")
+    c.create("part", p.where("p_partkey % 2 = 0"), "overwrite", rows_per_file=500)
+    c.create("part", p.where("p_partkey % 2 = 1"), "append")
+    c.compact("part", 4, ["p_partkey"])
+    c.drop("gone")
+    head = c.head("part", 5, ["p_partkey"]).agg(F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
+    return head.select(F.lit(",".join(c.list())).alias("name"), F.lit(c.count("part")).cast("long").alias("rows"), "first", "last")
+
+
+@query(f"SELECT 'doc_' || (id + 1) AS id, 'Document ' || (id + 1) AS title, 'Notes on topic ' || (('0x' || substr(md5(id || '_45'), 1, 13))::BIGINT % 97) AS content, ['Hardware', 'Software', 'Research'][floor({_drawn(42)} * 3)::INT + 1] AS category, (2020 + floor({_drawn(43)} * 5))::INT AS publish_year, 'auth_' || (floor({_drawn(44)} * 50)::BIGINT + 1) AS author_id, '' AS image_url FROM range(1000) x(id)", raw=True)
+def synthetic_documents(spark, sf_dir):
+    return synthetic.documents(spark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import hashed
 from ..functions.numbering import numbered
 
 DEFAULT_TYPE, DEFAULT_CLUSTER = "Entity", "cluster::default"
@@ -15,7 +16,8 @@ def normal_type(kind: Column) -> Column:
 
 
 def edges(triples: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Edges with ``pos`` and ``edge_id`` in the given order of the triples."""
+    """Edges with ``pos`` and ``edge_id`` in the given order of the triples; further columns become ``attrs_json``."""
+    extra = sorted(set(triples.columns) - {"head_type", "head", "relation", "tail_type", "tail", "pos"})
     order = order or ["relation", "head", "tail", "head_type", "tail_type"]
     placed = numbered(triples, order, "pos")
     return placed.select(
@@ -26,7 +28,7 @@ def edges(triples: DataFrame, order: list[str] | None = None) -> DataFrame:
         F.col("relation").alias("edge_type"),
         normal_type(F.col("head_type")).alias("src_type"),
         normal_type(F.col("tail_type")).alias("dst_type"),
-        F.lit("{}").alias("attrs_json"),
+        (F.to_json(F.struct(*[F.col(f"`{c}`") for c in extra])) if extra else F.lit("{}")).alias("attrs_json"),
     )
 
 
@@ -68,7 +70,7 @@ def cluster_by_type(kind: str = "node_type") -> Column:
 def cluster_by_hash(buckets: int, node: str = "node_id") -> Column:
     if buckets <= 0:
         raise ValueError("the number of buckets must be positive")
-    return F.concat(F.lit("hash::"), F.pmod(F.xxhash64(node), F.lit(buckets)).cast("string"))
+    return F.concat(F.lit("hash::"), (hashed(F.col(node)) % buckets).cast("string"))
 
 
 def cluster_by_community(community: str = "community_id") -> Column:
@@ -87,43 +89,48 @@ def _require(df: DataFrame, columns: tuple[str, ...], what: str) -> None:
         raise ValueError(f"{what} lack {', '.join(missing)}")
 
 
-def neighbour_lists(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node_id, out_ids, in_ids) in edge order, parallel edges and self-loops kept, unknown ends left out."""
-    known = nodes.select(F.col("node_id").alias("k"))
-    e = edges.join(known, F.col("src_id") == F.col("k"), "left_semi").join(known, F.col("dst_id") == F.col("k"), "left_semi")
-    ends = F.array(
-        F.struct(F.col("src_id").alias("node_id"), F.struct("pos", F.col("dst_id").alias("id")).alias("o"), F.lit(None).cast("struct<pos:bigint,id:string>").alias("i")),
-        F.struct(F.col("dst_id").alias("node_id"), F.lit(None).cast("struct<pos:bigint,id:string>").alias("o"), F.struct("pos", F.col("src_id").alias("id")).alias("i")),
-    )
-    ids = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["id"])
-    return e.select(F.inline(ends)).groupBy("node_id").agg(ids("o").alias("out_ids"), ids("i").alias("in_ids"))
+#: Edge positions to a chunk of a neighbour list, and so its most entries.
+CHUNK = 1 << 16
 
 
-def adjacency(nodes: DataFrame, edges: DataFrame, cluster: Column | None = None) -> DataFrame:
-    """One row per node with its neighbour ids in edge order and its cluster."""
+def _placed_ends(nodes: DataFrame, edges: DataFrame, cluster: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Nodes numbered by cluster and node order, and two rows for each edge between known nodes: (row, pos, other, out)."""
     _require(nodes, NODE_COLUMNS, "nodes")
     _require(edges, EDGE_COLUMNS, "edges")
-    base = nodes.withColumn("cluster_id", F.coalesce(cluster if cluster is not None else F.lit(None), F.lit(DEFAULT_CLUSTER)))
-    lists = neighbour_lists(edges, nodes)
-    none = F.array().cast("array<string>")
-    got = base.join(lists, "node_id", "left").withColumn("out_ids", F.coalesce("out_ids", none)).withColumn("in_ids", F.coalesce("in_ids", none))
-    return got.withColumn("degree_out", F.size("out_ids").cast("long")).withColumn("degree_in", F.size("in_ids").cast("long"))
-
+    named = nodes.withColumn("cluster_id", F.coalesce(cluster if cluster is not None else F.lit(None), F.lit(DEFAULT_CLUSTER)))
+    placed = numbered(named, ["cluster_id", "node_pos"], "physical_row_id")
+    row = lambda end: placed.select(F.col("node_id").alias(f"{end}_id"), F.col("physical_row_id").alias(f"{end}_row"))
+    known = edges.select("pos", "src_id", "dst_id").join(row("src"), "src_id").join(row("dst"), "dst_id")
+    ends = F.array(
+        F.struct(F.col("src_row").alias("row"), "pos", F.col("dst_row").alias("other"), F.lit(True).alias("out")),
+        F.struct(F.col("dst_row").alias("row"), "pos", F.col("src_row").alias("other"), F.lit(False).alias("out")),
+    )
+    return placed, known.select(F.inline(ends))
 
-def with_row_ids(adjacency: DataFrame) -> DataFrame:
-    """``physical_row_id`` by cluster, then node order; neighbour ids become row ids in the same order."""
-    rows = numbered(adjacency, ["cluster_id", "node_pos"], "physical_row_id")
-    place = rows.select(F.col("node_id").alias("id"), F.col("physical_row_id").alias("row"))
 
-    def translated(ids: str, out: str) -> DataFrame:
-        flat = rows.select("node_id", F.posexplode(ids).alias("at", "id")).join(place, "id")
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"])
-        return flat.groupBy("node_id").agg(ordered.alias(out))
+def adjacency_index(nodes: DataFrame, edges: DataFrame, cluster: Column | None = None) -> DataFrame:
+    """One row per node with its row id and its neighbours' row ids in edge order, both ways.
 
+    Nodes are numbered once, row ids join the edges once for each end, and one
+    grouping makes both lists. Where lists could outgrow a row, use ``adjacency_chunks``.
+    """
+    placed, ends = _placed_ends(nodes, edges, cluster)
+    ids = lambda side: F.transform(F.array_sort(F.collect_list(F.when(side, F.struct("pos", "other")))), lambda x: x["other"])
+    lists = ends.groupBy(F.col("row").alias("physical_row_id")).agg(ids(F.col("out")).alias("o"), ids(~F.col("out")).alias("i"))
     none = F.array().cast("array<bigint>")
-    got = rows.join(translated("out_ids", "o"), "node_id", "left").join(translated("in_ids", "i"), "node_id", "left")
-    got = got.withColumn("out_neighbor_row_ids", F.coalesce("o", none)).withColumn("in_neighbor_row_ids", F.coalesce("i", none))
-    return got.select("node_id", "node_type", "cluster_id", "degree_out", "degree_in", "attrs_json", "physical_row_id", "out_neighbor_row_ids", "in_neighbor_row_ids")
+    got = placed.join(lists, "physical_row_id", "left").withColumn("out_neighbor_row_ids", F.coalesce("o", none)).withColumn("in_neighbor_row_ids", F.coalesce("i", none))
+    return got.select("node_id", "node_type", "cluster_id", F.size("out_neighbor_row_ids").cast("long").alias("degree_out"), F.size("in_neighbor_row_ids").cast("long").alias("degree_in"), "attrs_json", "physical_row_id", "out_neighbor_row_ids", "in_neighbor_row_ids")
+
+
+def adjacency_chunks(nodes: DataFrame, edges: DataFrame, cluster: Column | None = None, chunk: int = CHUNK) -> DataFrame:
+    """The same lists in pieces: (physical_row_id, direction, chunk, ids), at most ``chunk`` ids each, in edge order.
+
+    A chunk is a range of edge positions, so that a hub's list is made by many tasks and fits any row.
+    """
+    _, ends = _placed_ends(nodes, edges, cluster)
+    named = ends.withColumn("direction", F.when(F.col("out"), "out").otherwise("in")).withColumn("chunk", F.expr(f"pos div {int(chunk)}"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "other"))), lambda x: x["other"])
+    return named.groupBy(F.col("row").alias("physical_row_id"), "direction", "chunk").agg(ids.alias("ids"))
 
 
 def laid_out(adjacency: DataFrame, files: int) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import ensure_checkpoints
+from ..functions.numbering import ensure_checkpoints, numbered
 from .neighbors import check_direction
 
 #: A frontier of up to this many rows is looked up by key; one of up to BROADCAST rows is sent to the scans; a larger one is shuffled.
@@ -44,12 +44,13 @@ def _check_k(k: int) -> None:
         raise ValueError("k must be a whole number of at least 1")
 
 
-def khop(triples: DataFrame, seed_rows: DataFrame, k: int, direction: str = "out", lookup: Lookup | None = None) -> DataFrame:
+def khop(triples: DataFrame, seed_rows: DataFrame, k: int, direction: str = "out", lookup: Lookup | None = None, counted: dict[str, int] | None = None) -> DataFrame:
     """(seed, node, depth): each node within k hops once, at its least depth, without the seed.
 
     While a frontier is small its ids go into the scan's filter by ``lookup``;
     a larger one is broadcast up to a checked size, and then joined by shuffle.
-    Edges are never shuffled for a small frontier.
+    Edges are never shuffled for a small frontier. ``counted`` gets how many
+    frontiers were looked up and how many edge joins were planned.
     """
     _check_k(k)
     check_direction(direction)
@@ -72,6 +73,9 @@ def khop(triples: DataFrame, seed_rows: DataFrame, k: int, direction: str = "out
         if h > 1:
             found = found.unionByName(frontier.withColumn("depth", F.lit(h - 1)))
             seen = seen.unionByName(frontier)
+        if counted is not None:
+            counted["take_row_ids_count"] += 1
+            counted["query_count"] += 1
         edge = _steps_from(lookup, sorted({r["node"] for r in top}), direction) if small and lookup else steps(triples, direction)
         near = edge.join(side, F.col("src") == F.col("node")).select("seed", F.col("dst").alias("node")).distinct()
         frontier = near.join(seen, ["seed", "node"], "left_anti")
@@ -100,7 +104,12 @@ def layered(edges: DataFrame, seed: str, k: int) -> DataFrame:
 
 
 def recursive_sql(triples: DataFrame, seed: str, k: int) -> DataFrame:
-    """Nodes on simple paths of up to k edges, by a recursive query; the set equals ``khop``."""
+    """Nodes on simple paths of up to k edges, by a recursive query; the set equals ``khop``.
+
+    Paths are enumerated, so this form is for small neighbourhoods: Spark stops
+    it with an error beyond ``spark.sql.cteRecursionRowLimit`` rows, and k may
+    not exceed ``spark.sql.cteRecursionLevelLimit``. ``khop`` has no such bounds.
+    """
     _check_k(k)
     spark = triples.sparkSession
     sql = """
@@ -126,11 +135,16 @@ def trails(edges: DataFrame, seed_rows: DataFrame, least: int, most: int, direct
     if direction != "out":
         back = e.select("e", F.col("b").alias("a"), F.col("a").alias("b"))
         e = back if direction == "in" else e.union(back.where("a <> b"))
+    ensure_checkpoints(edges.sparkSession)
     walk = seed_rows.select("seed", F.col("seed").alias("node")).distinct().withColumn("used", F.array().cast("array<string>"))
     out = None
     for h in range(1, most + 1):
         walk = walk.join(e, F.col("node") == F.col("a")).where(~F.array_contains("used", F.col("e")))
-        walk = walk.select("seed", F.col("b").alias("node"), F.concat("used", F.array("e")).alias("used"))
+        walk = walk.select("seed", F.col("b").alias("node"), F.array_sort(F.concat("used", F.array("e"))).alias("used"))
+        if h > 2:  # trails over the same edges to the same node go on alike
+            walk = walk.distinct()
+        if h > 3:
+            walk = walk.checkpoint()
         if h >= least:
             part = walk.select("seed", "node", F.lit(h).alias("length"))
             out = part if out is None else out.unionByName(part)
@@ -138,32 +152,38 @@ def trails(edges: DataFrame, seed_rows: DataFrame, least: int, most: int, direct
 
 
 def counted_hops(triples: DataFrame, seed_rows: DataFrame, n: int, lookup: Lookup | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """Nodes at distance n, and how many joins and hops the plan took."""
-    return exact_hops(triples, seed_rows, n, lookup=lookup), {"query_count": n, "take_row_ids_count": n, "total_operations": 2 * n}
+    """Nodes at distance n, and what it took: edge joins, frontiers looked up, and both together. A walk that ends early counts fewer."""
+    counted = {"query_count": 0, "take_row_ids_count": 0}
+    found = khop(triples, seed_rows, n, lookup=lookup, counted=counted).where(F.col("depth") == n)
+    return found, {**counted, "total_operations": sum(counted.values())}
 
 
 def max_hops(triples: DataFrame, cap: int = 10) -> DataFrame:
-    """(node, max_hop): how many hops a walk from each node can take, ``cap`` at most.
-
-    On graphs without cycles walks are trails; a node that reaches a cycle gets ``cap``.
+    """(node, max_hop): the most edges of a trail from each node, ``cap`` at most; 0 without outgoing edges.
 
-    A frontier of distinct (origin, node) pairs is walked until it is empty; the
-    last depth at which an origin still has a node is its reach. Nodes without
-    outgoing edges have 0.
+    A walk of h edges starts where an edge leads to the start of one of h - 1,
+    so each hop is one semi join over the edges. Walks are trails unless they
+    meet a cycle, and those that do reach the cap: only for nodes that do,
+    trails are followed, edge by edge.
     """
     spark = triples.sparkSession
     ensure_checkpoints(spark)
-    edge = steps(triples, "out").distinct().checkpoint()
-    every = triples.select(F.col("head").alias("origin")).union(triples.select("tail")).distinct()
-    frontier = edge.select(F.col("src").alias("origin"), F.col("dst").alias("node"))
-    reach = frontier.select("origin", F.lit(1).alias("h"))
+    edge = numbered(triples.select(F.col("head").alias("src_id"), F.col("tail").alias("dst_id")), ["src_id", "dst_id"], "edge_id").withColumn("edge_id", F.col("edge_id").cast("string")).checkpoint()
+    every = edge.select(F.col("src_id").alias("node")).union(edge.select("dst_id")).distinct()
+    step = edge.select(F.col("src_id").alias("node"), F.col("dst_id").alias("next")).distinct()
+    able = step.select("node").distinct().checkpoint()
+    reach = able.withColumn("h", F.lit(1))
     for h in range(2, cap + 1):
-        frontier = frontier.join(edge, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct().checkpoint()
-        if frontier.isEmpty():
+        able = step.join(able.withColumnRenamed("node", "next"), "next", "left_semi").select("node").distinct().checkpoint()
+        if able.isEmpty():
             break
-        reach = reach.union(frontier.select("origin", F.lit(h).alias("h")))
-    best = reach.groupBy("origin").agg(F.max("h").alias("h"))
-    return every.join(best, "origin", "left").select(F.col("origin").alias("node"), F.coalesce("h", F.lit(0)).alias("max_hop"))
+        reach = reach.union(able.withColumn("h", F.lit(h)))
+    best = reach.groupBy("node").agg(F.max("h").alias("h"))
+    far = best.where(F.col("h") == cap).select(F.col("node").alias("seed")).checkpoint()
+    if not far.isEmpty():
+        walked = trails(edge, far, 1, cap).groupBy(F.col("seed").alias("node")).agg(F.max("length").alias("t"))
+        best = best.join(walked, "node", "left").select("node", F.coalesce("t", "h").alias("h"))
+    return every.join(best, "node", "left").select("node", F.coalesce("h", F.lit(0)).alias("max_hop"))
 
 
 def hop_distribution(reach: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import nearest_rank, shortened
+from ..functions.expressions import shortened
 
 
 def _timings() -> list:
@@ -49,11 +49,12 @@ def cold_metrics(results: DataFrame, label: str = "query_type", group: str = "se
 
 def rank_metrics(results: DataFrame, by: list[str]) -> DataFrame:
     """Queries, total, mean, nearest-rank p50 and p95, mean count and queries a second."""
-    times = F.collect_list("time_ms")
-    got = results.groupBy(*by).agg(F.count("*").alias("queries"), F.sum("time_ms").alias("total"), F.avg("time_ms").alias("mean"), times.alias("times"), F.avg("result_count").alias("avg_count"))
+    whole, ranked = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("time_ms")
+    placed = results.select(*by, "time_ms", "result_count", F.count("*").over(whole).alias("n"), (F.row_number().over(ranked) - 1).alias("at"))
+    rank = lambda p: F.max(F.when(F.col("at") == F.bround(F.lit(p) * (F.col("n") - 1)).cast("int"), F.col("time_ms")))
+    got = placed.groupBy(*by).agg(F.count("*").alias("queries"), F.sum("time_ms").alias("total"), F.avg("time_ms").alias("mean"), rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"), F.avg("result_count").alias("avg_count"))
     return got.select(
-        *by, "queries", F.round("total", 6).alias("total_ms"), F.round("mean", 6).alias("mean_ms"),
-        nearest_rank(F.col("times"), 0.5).alias("p50_ms"), nearest_rank(F.col("times"), 0.95).alias("p95_ms"),
+        *by, "queries", F.round("total", 6).alias("total_ms"), F.round("mean", 6).alias("mean_ms"), "p50_ms", "p95_ms",
         F.round("avg_count", 6).alias("avg_count"), F.round(F.when(F.col("total") > 0, F.col("queries") / (F.col("total") / 1000)).otherwise(0.0), 6).alias("qps"),
     )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cosine, tokens
+from ..functions.expressions import cosine
+from ..functions.numbering import ensure_checkpoints
 
 #: Usual constants of the Okapi weighting.
 K1, B = 1.2, 0.75
@@ -18,20 +19,20 @@ def _top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
 def bm25_scores(documents: DataFrame, query: str, key: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
     """(key, score) of documents that hold a query word.
 
-    Word counts are taken inside each document's row, so nothing but documents
-    that match leaves the scan; document frequencies and the mean length are
-    one small aggregation over the whole corpus, before ``where`` applies.
+    Texts are cut into words once: the word counts of each document, a few
+    numbers a row, are checkpointed. Document frequencies and the mean length
+    are one small aggregation over them, before ``where`` applies, and so are
+    the scores.
     """
     words = sorted({w for w in _query_words(query)})
     zero = F.lit(0.0)
     if not words:
         return documents.select(key, zero.alias("score")).where(F.lit(False))
-    listed = documents.withColumn("__t", tokens(F.coalesce(F.col(text), F.lit(""))))
-    counts = listed.withColumn("__n", F.size("__t"))
-    for i, w in enumerate(words):
-        counts = counts.withColumn(f"__tf{i}", F.size("__t") - F.size(F.array_remove("__t", w)))
     keep = F.lit(True) if where is None else where
-    slim = counts.select(key, "__n", keep.alias("__keep"), *[f"__tf{i}" for i in range(len(words))])
+    listed = documents.select(key, keep.alias("__keep"), F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+").alias("__t"))
+    ends = F.when(F.element_at("__t", 1) == "", 1).otherwise(0) + F.when((F.size("__t") > 1) & (F.element_at("__t", -1) == ""), 1).otherwise(0)  # empty words stand at the ends alone
+    ensure_checkpoints(documents.sparkSession)
+    slim = listed.select(key, "__keep", (F.size("__t") - ends).alias("__n"), *[(F.size("__t") - F.size(F.array_remove("__t", w))).alias(f"__tf{i}") for i, w in enumerate(words)]).checkpoint()
     stats = slim.agg(F.count("*").alias("__all"), F.avg("__n").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(words))])
     score = zero
     for i in range(len(words)):
@@ -82,7 +83,7 @@ def fused_search(documents: DataFrame, vectors: DataFrame, query: str, query_vec
     words = bm25_scores(documents, query, where=where).withColumnRenamed("doc_id", "key")
     near = vector_scores(vectors, query_vector).withColumnRenamed("vec_id", "key")
     kept = documents if where is None else documents.where(where)
-    near = near.join(kept.select(F.col("doc_id").alias("key")), "key", "left_semi")
+    near = near.join(kept.select(F.col("doc_id").alias("key")), "key", "left_semi").checkpoint()  # read for its ends and for the scores
     both = _normal(words, "w").join(_normal(near, "v"), "key", "full_outer")
     score = F.round(F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("w", F.lit(0.0)), 6)
     return _top(both.select(F.col("key").alias("doc_id"), score.alias("score")), "score", "doc_id", k)

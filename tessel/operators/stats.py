@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import hashed
 from ..functions.numbering import numbered
 from .neighbors import check_direction
 
@@ -124,6 +125,7 @@ def node_classes(triples: DataFrame) -> DataFrame:
 def triple_classes(triples: DataFrame) -> DataFrame:
     """Each triple with the larger degree of its ends and its class."""
     d = degrees(triples)
+    # a hub's degree joins every triple it is in: where it is not broadcast, AQE splits that key's rows
     h, t = d.select(F.col("node").alias("head"), F.col("degree").alias("dh")), d.select(F.col("node").alias("tail"), F.col("degree").alias("dt"))
     top = F.greatest("dh", "dt")
     return triples.join(h, "head").join(t, "tail").select("head", "relation", "tail", top.alias("degree"), triple_class(top).alias("class"))
@@ -153,7 +155,7 @@ def quantile_buckets(nodes_with_degree: DataFrame, low: float = 0.5, mid: float
 
 def sampled_seeds(nodes: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` nodes drawn by hash: the same for the same seed, whatever the partitions."""
-    return nodes.select("node").distinct().orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(n)
+    return nodes.select("node").distinct().orderBy(hashed(F.col("node"), F.lit(str(seed))), "node").limit(n)
 
 
 def batch_groups(nodes: DataFrame, groups: int, size: int, seed: int = 42) -> DataFrame:

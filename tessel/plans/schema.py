@@ -1,26 +1,10 @@
-"""Schemas of the data model."""
-
-from __future__ import annotations
-
-from pyspark.sql import types as T
-
-
-def _strings(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "longs": T.ArrayType(T.LongType())}
-
-
-def _fields(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in text.split(","))])
-
-
-TRIPLES = _strings("head_type", "head", "relation", "tail_type", "tail")
-EDGES = _strings("edge_id", "src_id", "dst_id", "edge_type", "src_type", "dst_type", "attrs_json")
-NODES = _fields("node_id string, node_type string, degree_out long, degree_in long, community_id int, attrs_json string")
-RAW_NODES = _strings("node_id", "node_type", "raw_id", "attrs_json")
-ADJACENCY = _fields("node_id string, node_type string, cluster_id string, degree_out long, degree_in long, attrs_json string, physical_row_id long, out_neighbor_row_ids longs, in_neighbor_row_ids longs")
-RESULTS = _fields("engine string, query_type string, seed string, k int, batch_size int, time_ms double, result_count int, success boolean, error_message string")
-DOCUMENTS = _fields("id string, title string, content string, category string, publish_year int, author_id string, image_url string")
-AUTHORS = _strings("id", "name", "department")
+"""Schemas of the data model, as DDL."""
+
+TRIPLES = "head_type string, head string, relation string, tail_type string, tail string"
+EDGES = "edge_id string, src_id string, dst_id string, edge_type string, src_type string, dst_type string, attrs_json string"
+NODES = "node_id string, node_type string, degree_out long, degree_in long, community_id int, attrs_json string"
+RAW_NODES = "node_id string, node_type string, raw_id string, attrs_json string"
+ADJACENCY = "node_id string, node_type string, cluster_id string, degree_out long, degree_in long, attrs_json string, physical_row_id long, out_neighbor_row_ids array<long>, in_neighbor_row_ids array<long>"
+RESULTS = "engine string, query_type string, seed string, k int, batch_size int, time_ms double, result_count int, success boolean, error_message string"
+DOCUMENTS = "id string, title string, content string, category string, publish_year int, author_id string, image_url string"
+AUTHORS = "id string, name string, department string"

@@ -16,7 +16,7 @@ def read_tsv(spark: SparkSession, path: str, first: int | None = None) -> DataFr
     if first is None:
         return df
     placed = df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__block", F.col("_metadata.file_block_start")).withColumn("__at", F.monotonically_increasing_id())
-    return numbered(placed, ["__file", "__block", "__at"], "__row").where(F.col("__row") < first).select(*TRIPLES.names)
+    return numbered(placed, ["__file", "__block", "__at"], "__row").where(F.col("__row") < first).drop("__file", "__block", "__at", "__row")
 
 
 def split_raw(lines: DataFrame) -> DataFrame:

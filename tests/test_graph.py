@@ -34,7 +34,7 @@ def sample(spark):
 @pytest.fixture(scope="module")
 def sample_adjacency(sample):
     e = build.edges(sample, ["n"])
-    return build.with_row_ids(build.adjacency(build.nodes(e), e, build.cluster_by_type())).checkpoint()
+    return build.adjacency_index(build.nodes(e), e, build.cluster_by_type()).checkpoint()
 
 
 def _names(df, column):
