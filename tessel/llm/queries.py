@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from . import disclosure, extraction, jaccard, language, neighbours, packing, pieces, quality, secrets, substrings
 from .common import prepare, read
+from .oracles import ORACLE_SQL
 from .spans import count_of, ordered, written
 
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_file"]
+
 
 def tokenizer_file(name: str) -> str:
     """The place of a public vocabulary file on this machine."""
@@ -119,6 +122,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
