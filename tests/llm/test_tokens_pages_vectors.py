@@ -140,6 +140,29 @@ def test_short_and_link_rich_slots_of_an_article_stay(spark):
         assert got[i][0].startswith(f"Long {i} text") and got[i][1:] == [f"Short {i}", f"Reference {i} by name", f"End {i}"]
 
 
+def test_lines_that_a_host_repeats_are_no_article(spark):
+    """Notice lines without a telling name, inside the article, on all pages and on most of them."""
+    page = "<html><body><article><h1>Title {n}</h1><div><span>Read in three minutes</span></div><p>" + "Words of page {n} run on. " * 5 + "</p>{more}<p>Last of {n}.</p></article></body></html>"
+    most = "<div class=x1><i></i>Follow the paper on paper</div>"
+    rows = [(i, "http://lines.example/", page.format(n=i, more=most if i % 4 else "")) for i in range(8)] + [(20 + i, "http://same.example/", "<body><article><p>One and</p><p>the same</p></article></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in extraction.extract(df).collect()}
+    for i in range(8):
+        assert got[i] == [f"Title {i}", ("Words of page %d run on. " % i * 5).strip(), f"Last of {i}."]
+    assert all(got[20 + i] == ["One and", "the same"] for i in range(6))
+
+
+def test_pages_of_marks_that_never_end_are_read_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ('<a "', "<a ", "<!", '<script "', "<p '"):
+        for tail in ("", ">", "<p>tail</p>"):
+            extraction.parse("<p>x</p>" + part * 20_001 + tail)
+    assert time.perf_counter() - began < 30
+    assert [p.text for p in extraction.parse('a <b>c</b> <i "d</i> e < f').pieces] == ["a ", "c", " ", " e ", "<", " f"]
+
+
 def test_templates_are_the_tokens_with_the_pages_own_vector(spark):
     rows = [(i, "http://h.example/", PAGE.format(n=i)) for i in range(6)]
     outer = extraction.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["outer"]
