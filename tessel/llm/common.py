@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tessel-")
         sc.setCheckpointDir(named)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -465,10 +465,11 @@ def left_over_links(compared: DataFrame, sets: DataFrame, roots: DataFrame) -> D
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_shingles, component_id) of every row, and the links (a, b, similarity) between classes.
+    """(doc_id, text_hash, n_shingles, component_id, component_key) of every row, and the links (a, b, similarity) between classes.
 
     Links hold the comparisons that were needed to connect what is connected:
-    pairs that a path of other links joins already may be left out.
+    pairs that a path of other links joins already may be left out. The key of
+    a component tells apart those without any doc_id; empty sets have none.
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -492,6 +493,6 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     named = stored(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "rep"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(named.join(least, "root").select("key", "component_id"))
-    out = rows.join(named, "key", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = stored(named.join(least, "root").select("key", "root", "component_id"))
+    out = rows.join(named, "key", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("root").alias("component_key"))
     return out, links

@@ -153,6 +153,9 @@ def ranked(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, near:
 
 
 PLACED = "vec_id long, vec array<double>, part int, block int"
+
+#: Queries that one task ranks against one block.
+ASKED = 4096
 FOUND = "query_id long, ids array<long>, scores array<double>, parts array<int>"
 
 
@@ -186,6 +189,16 @@ def _asked(queries: DataFrame, router: Router, blocks: np.ndarray, probes: int)
     return queries.mapInArrow(run, PLACED)
 
 
+def _met(placed: DataFrame, asked: DataFrame, parts: int, near: int) -> DataFrame:
+    """Each block of rows against the queries for it, at most about ASKED of them at once: more queries are split and the block is sent to each part of them."""
+    counts = {r["part"]: r["n"] for r in asked.where("block = 0").groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per partition
+    turns = F.array(*[F.lit(-(-counts.get(p, 0) // ASKED)) for p in range(parts)])  # no turn where nothing is asked
+    mine = F.element_at(turns, F.col("part") + 1)
+    rows = placed.withColumn("turn", F.explode(F.when(mine > 0, F.sequence(F.lit(0), mine - 1))))
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("vec_id"), mine).cast("int"))
+    return rows.groupBy("part", "block", "turn").cogroup(asked.groupBy("part", "block", "turn")).applyInArrow(_rank(near), FOUND)
+
+
 def _rank(near: int):
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -212,7 +225,7 @@ def _merged(found: DataFrame, near: int) -> DataFrame:
 
 
 def search(rows: DataFrame, queries: DataFrame, near: int = NEAR, recall: float = RECALL) -> tuple[DataFrame, float]:
-    """(query_id, rank, vec_id, score) and the recall measured on MEASURED queries.
+    """(query_id, rank, vec_id, score), with the partitions asked, all partitions and the recall measured on MEASURED queries beside each, and that recall.
 
     ``queries`` are rows of the same table; a query's own row is no answer.
     """
@@ -234,15 +247,16 @@ def search(rows: DataFrame, queries: DataFrame, near: int = NEAR, recall: float
             probes = int(np.argmax(held >= recall)) + 1
             measured = float(held[probes - 1])
     asked = _asked(wanted, router, blocks, probes)
-    found = placed.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(_rank(near), FOUND)
+    found = _met(placed, asked, parts, near)
     best = _merged(found, near).select("query_id", F.posexplode("best").alias("at", "hit"))
-    return best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score")), measured
+    how = (F.lit(probes).alias("probes"), F.lit(parts).alias("parts"), F.lit(measured).alias("recall"))
+    return best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"), *how), measured
 
 
 def _ranks_of_truth(placed: DataFrame, test: DataFrame, router: Router, blocks: np.ndarray, near: int) -> np.ndarray:
     """Brute force for the test queries: how far down a query's list of partitions each true neighbour's partition stands."""
     asked = _asked(test, router, blocks, len(router.bias))
-    found = placed.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(_rank(near), FOUND)
+    found = _met(placed, asked, len(router.bias), near)
     got = _merged(found, near).join(test, F.col("query_id") == F.col("vec_id")).select("vec", F.transform("best", lambda x: x["part"]).alias("parts")).toArrow()  # at most MEASURED rows
     if not got.num_rows:
         return np.zeros(0, np.int64)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import disclosure, extraction, jaccard, language, neighbours, packing, pieces, quality, secrets, substrings
-from .common import prepare, read
+from .common import prepare, read, shared_dir
 from .oracles import ORACLE_SQL
 from .spans import count_of, ordered, written
 
@@ -37,6 +38,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows).withColumnRenamed("id", "doc_id")
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page: text, the lang of its html tag, the suffix of its address and its host."""
+    prepare(spark)
+    return language.identify(language.of_pages(read(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and the terms near it that reveal it."""
     prepare(spark)
@@ -50,9 +57,10 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, by content-addressed scans."""
+    """Secrets of every document, by way of a ledger table of this run."""
     prepare(spark)
-    out, _ = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    ledger = f"{shared_dir(spark)}/tessel/ledger-{uuid.uuid4().hex}"
+    out = secrets.scan_with(read(spark, sf_dir, "documents").select("doc_id", "text"), ledger)
     base = secrets.base_of(F.col("found"))
     return out.select(
         "doc_id",
@@ -99,11 +107,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and place; nulls count as empty, repeated rows are packed as often, no documents give no rows."""
     prepare(spark)
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; a null text has no words and fails, repeated rows are judged alike, no documents give no rows."""
     prepare(spark)
     docs = read(spark, sf_dir, "documents")
     rules = quality.learn_from(docs, read(spark, sf_dir, "labels"))
@@ -114,6 +124,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "language_of_pages": language_of_pages,
     "op3_disclosure": op3_disclosure,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_jaccard_join": op5_jaccard_join,

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import prepare, sized_join, stored
 from .spans import SPAN, matches, ordered, replaced
 
 LEDGER = f"blob string, rule string, version int, found array<{SPAN}>"
@@ -93,10 +93,26 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     known = fresh if ledger is None else fresh.unionByName(ledger.join(F.broadcast(_current(versions, rules)), ["rule", "version"], "left_semi"))
     spans = known.where(F.size("found") > 0).groupBy("blob").agg(ordered(F.flatten(F.collect_list("found"))).alias("found"))
     spans = stored(spans)  # few blobs have findings; their size decides how they are joined
-    out = addressed(versions.drop("found")).join(spans, "blob", "left")
+    named = addressed(versions.drop("found"))
+    out = sized_join(named, spans, "blob", [f"`{c}`" for c in named.columns if c not in ("text", "blob")] or ["blob"])
     return out.withColumn("found", F.coalesce("found", F.array().cast(f"array<{SPAN}>"))), fresh
 
 
+def scan_with(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with ``found``, by way of the ledger table at ``path``.
+
+    The table is made where it is missing; pairs of blob and rule version that
+    it holds are not scanned again, and new pairs are appended to it.
+    """
+    spark = versions.sparkSession
+    prepare(spark)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    out, fresh = scan(versions, stored(spark.read.schema(LEDGER).parquet(path)) if there else None, rules)
+    fresh.write.mode("append").parquet(path)
+    return out
+
+
 def _current(versions: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return versions.sparkSession.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
 

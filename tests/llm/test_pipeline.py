@@ -6,6 +6,23 @@ from tessel.llm.common import stored
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """No rows, nulls everywhere, repeated rows, copies with null and equal ids, and columns with the operators' own names."""
+    prose = " ".join(f"w{(k * 31) % 997}" for k in range(90))
+    other = " ".join(f"v{(k * 17) % 991}" for k in range(90))
+    odd = [(4, prose), (4, prose), (9, prose), (None, prose), (None, other), (None, other + " end"), (7, None), (None, None), (8, ""), (4, other + " " + " ".join(f"u{k}" for k in range(150)))]
+    rows = [(i, t, None, None, None, "b", "k", 1) for i, t in odd]
+    df = spark.createDataFrame(rows, COLUMNS + ", bucket string, key string, times int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got if r["text"]) == sorted([(4, prose), (-1, min(other, other + " end", key=lambda t: [r["h"] for r in spark.createDataFrame([(t,)], "t string").selectExpr("xxhash64(t) AS h").collect()])), (4, odd[-1][1])])
+    assert sum(not r["text"] for r in got) == 3
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+        stage(spark, df, str(tmp_path)).count()
+
+
 def test_each_stage_takes_effect(spark, tmp_path):
     prose = lambda i, n=120: " ".join(f"w{(i * 131 + k * k * 7 + k) % 4001}" for k in range(n))
     shared = prose(9999, 60)

@@ -226,6 +226,57 @@ def test_ledger_scans_only_what_it_has_not_seen(spark):
     assert rescanned.count() == 3
 
 
+def test_ledger_table_is_read_appended_and_reused(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "password=hunter22"), (2, None), (3, "password=hunter22"), (4, "AKIA" + "Q" * 16)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    first = {r["doc_id"]: len(r["found"]) for r in secrets.scan_with(docs, path).collect()}
+    size = spark.read.parquet(path).count()
+    again = {r["doc_id"]: len(r["found"]) for r in secrets.scan_with(docs, path).collect()}
+    assert first == again == {1: 1, 2: 0, 3: 1, 4: 1}
+    assert size == 3 * len(secrets.RULES) == spark.read.parquet(path).count()  # three blobs, and nothing new the second time
+    more = docs.union(spark.createDataFrame([(5, "token=abcdef12")], "doc_id long, text string"))
+    assert sum(len(r["found"]) for r in secrets.scan_with(more, path).collect()) == 4
+    assert spark.read.parquet(path).count() == size + len(secrets.RULES)
+
+
+def test_telling_terms_against_brute_force(spark):
+    """Each document holds one entity at most, so its surroundings are plain."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice("red blue green tall small old new far near cold warm soft".split())
+    fill = lambda n: " ".join(word() for _ in range(n))
+    docs = [fill(30) for _ in range(40)] + [None, "", "quux " + fill(9)]
+    docs += [f"{fill(3 + k)} Ann@x.org {fill(40)} Zorbax {fill(3)} Z9 {fill(2)} zorbax" for k in range(4)]
+    docs += [f"{fill(3 + k)} bob@y.net {fill(8)} {'Quux' if k else 'none'} {fill(5)}" for k in range(5)]
+    docs += [f"{fill(5)} 10.0.0.7 {fill(5)} lonely {fill(2)}"] * 2
+    wanted = {}
+    term = re.compile(r"[^\W_]+")
+    found = {i: [(m.start(), m.end(), n, m[0]) for n, r, ok in BASE3 for m in r.finditer(t or "") if ok(m)] for i, t in enumerate(docs)}
+    assert all(len(x) <= 1 for x in found.values())
+    terms = {i: {m[0].lower() for m in term.finditer(t or "")} for i, t in enumerate(docs)}
+    holders = {}
+    for i, x in found.items():
+        for a, b, n, f in x:
+            holders.setdefault((n, f.lower()), {})[i] = (docs[i][max(0, a - disclosure.REACH) : a], docs[i][b : b + disclosure.REACH])
+    for e, held in holders.items():
+        for t in set().union(*(terms[i] for i in held)):
+            both, with_t = [i for i in held if t in terms[i]], sum(t in x for x in terms.values())
+            share = math.log2(len(docs) * len(both) / (with_t * len(held))) / math.log2(len(docs) / len(held))
+            if share >= disclosure.GENERAL and len({held[i] for i in both}) >= disclosure.SUPPORT:
+                for i in both:
+                    (a, b, *_), = found[i]
+                    for m in term.finditer(docs[i]):
+                        if m[0].lower() == t and (m.end() <= a or m.start() >= b):
+                            kind = "drop" if share >= disclosure.REMOVE else "term"
+                            wanted.setdefault(i, set()).add((m.start(), m.end(), kind))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: {(x["start"], x["end"], x["kind"]) for x in r["terms"]} for r in disclosure.protect(df).collect()}
+    assert {i: x for i, x in got.items() if x} == wanted and len(got) == len(docs)
+    assert {k for x in wanted.values() for *_, k in x} == {"drop", "term"} and len(wanted) == 8
+
+
 def test_quality_counts_against_plain_python(corpus):
     texts = [t for _, t in corpus] + ["a b c a b c d", "x | y | #\nx | y | #\n\n \nx | y", "A! B!! 12 3"]
     for t in texts:
