@@ -59,7 +59,7 @@ SHINGLE = 5
 K2, SPARE = 2, 3
 
 #: Bytes of compressed input to a bucket; bytes of text, and of features, that are worked on at once; bytes of features in a block.
-BUCKET_BYTES, FLUSH_BYTES, SET_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20, 8 << 20, 4 << 20
+BUCKET_BYTES, FLUSH_BYTES, SET_BYTES, BLOCK_BYTES = 4 << 20, 3 << 20, 4 << 20, 4 << 20
 
 #: Rows of a batch, whose places must fit 16 bits.
 BATCH_ROWS = 60_000
@@ -101,7 +101,7 @@ class Sets:
     """Shingle sets of texts as sorted arrays of hashes."""
 
     def __init__(self):
-        self.hashes = WordHashes(seed=5, most=250_000)
+        self.hashes = WordHashes(seed=5, most=150_000)
 
     def of(self, raw: bytes) -> np.ndarray:
         h = self.hashes.of(raw.lower().split())
@@ -262,11 +262,13 @@ def _shared(table: pa.Table) -> pa.Table:
         name = table["batch"].to_numpy()
         each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["entries"]]
         e, batch = np.concatenate(each), np.repeat(np.arange(len(each), dtype=np.uint32), [len(x) for x in each])
+        del each, table
         order = np.argsort(e)
         e, batch = e[order], batch[order]
-        f = e >> _S16
-        count = np.diff([*np.flatnonzero(_starts(f)), len(f)])
-        found = np.repeat(count > 1, count) & ((e & _OWNER) != _OWNER)  # the place of all ones stands for owners that know already
+        del order
+        new = _starts(e >> _S16)
+        found = ~(new & np.append(new[1:], True))  # not alone
+        found &= (e & _OWNER) != _OWNER  # the place of all ones stands for owners that know already
         e, batch = e[found], batch[found]
         order = np.argsort(batch, kind="stable")
         e, batch = e[order], batch[order]
