@@ -21,9 +21,9 @@ those for its bound says so by emitting an ordered prefix of its features too,
 which binds any two such sets. So the candidates are complete.
 
 Third, sets that share a signature are compared. The member with the smallest
-share of features of its own is the group's pivot, within a batch before
-anything is sent and then over all; members meet their pivots, on the features
-themselves, with no bound on their number. Links make components. A member
+share of features of its own is the group's pivot, in large groups within a
+batch before anything is sent, and then over all; members meet their pivots, on
+the features themselves, with no bound on their number. Links make components. A member
 outside its pivot's component is compared with the group's other members
 outside its own, in blocks of bounded size: by the triangle inequality, by
 parity bitmaps, and what these let pass by the features. Only links leave that
@@ -61,6 +61,9 @@ K2, SPARE = 2, 3
 #: Bytes of compressed input to a bucket; bytes of text, and of features, that are worked on at once; bytes of features in a block.
 BUCKET_BYTES, FLUSH_BYTES, SET_BYTES, BLOCK_BYTES = 4 << 20, 3 << 20, 4 << 20, 4 << 20
 
+#: Members of a signature group that a batch sends on; of a larger group it sends the pivot alone.
+MOST_SENT = 8
+
 #: Rows of a batch, whose places must fit 16 bits.
 BATCH_ROWS = 60_000
 
@@ -299,7 +302,7 @@ def _order(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
 
 
 def _ask(n: int):
-    """Signatures of a batch of sets: pairs with the batch's own pivots, and an entry for each pivot."""
+    """Signatures of a batch of sets, with their members; of a large group, its pivot alone, and the others as pairs with that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _schema(ASKED)
@@ -313,12 +316,14 @@ def _ask(n: int):
             e = (sig >> _S16) << _S16 | rank[doc]
             e = np.unique(e)
             new = _starts(e >> _S16)
-            pivot = np.repeat(e[new] & _OWNER, np.diff([*np.flatnonzero(new), len(e)]))
-            pairs = np.unique((pivot << _S16 | (e & _OWNER))[~new]).astype(np.int64)
+            count_of = np.diff([*np.flatnonzero(new), len(e)])
+            large = np.repeat(count_of > MOST_SENT, count_of)
+            pivot = np.repeat(e[new] & _OWNER, count_of)
+            pairs = np.unique((pivot << _S16 | (e & _OWNER))[large & ~new]).astype(np.int64)
             keys, count = keys[order], count[order].astype(np.uint32)
             text = [x.tobytes() for x in keys]
             rows = [((salt + k) % n, text[p >> 16], text[p & 0xFFFF], None, None, None) for k, p in enumerate(pairs.tolist())]
-            for bucket, entries in _dealt(e[new], n):
+            for bucket, entries in _dealt(e[new | ~large], n):
                 here, local = np.unique((entries & _OWNER).astype(np.int64), return_inverse=True)
                 rows.append((bucket, None, None, ((entries >> _S16) << _S16 | local.astype(np.uint64)).tobytes(), keys[here].tobytes(), count[here].tobytes()))
             yield _arrow(rows, schema)

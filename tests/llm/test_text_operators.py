@@ -93,6 +93,7 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
     rows += [(20 + i, " ".join(base[:12] + [f"z{i}_{k}" for k in range(40)])) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 256)  # several blocks a group
+    monkeypatch.setattr(jaccard, "MOST_SENT", 1)
     out, _ = jaccard.similar_groups(df)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
 
