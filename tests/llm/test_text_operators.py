@@ -110,6 +110,24 @@ def test_jaccard_join_of_a_large_group_over_two_size_bands(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
 
 
+def test_components_against_plain_python(spark):
+    import random
+
+    from tessel.llm.components import components
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + k, 401 + k) for k in range(40)] + [(500, 500 + k) for k in range(1, 30)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["root"] for r in components(df).collect()} == root
+    assert components(df.limit(0)).count() == 0
+
+
 def test_members_outside_the_pivots_component_find_each_other():
     key = lambda k, n: bytes([k]) * 12 + n.to_bytes(4, "little")
     rng = np.random.default_rng(1)
