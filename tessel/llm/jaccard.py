@@ -23,8 +23,12 @@ which binds any two such sets. So the candidates are complete.
 Third, sets that share a signature are compared. The member with the smallest
 share of features of its own is the group's pivot, in large groups within a
 batch before anything is sent, and then over all; members meet their pivots, on
-the features themselves, with no bound on their number. Links make components. A member
-outside its pivot's component is compared with the group's other members
+the features themselves. A few signatures of each set come first, so that a set
+meets a few pivots however large its groups are, and links make components.
+Then come all signatures, and only groups that hold sets of several components
+are looked at: in the others nothing is left to connect. Their members meet
+their pivots with no bound on their number, and links make components anew. A
+member outside its pivot's component is compared with the group's other members
 outside its own, in blocks of bounded size: by the triangle inequality, by
 parity bitmaps, and what these let pass by the features. Only links leave that
 step, and none within what is connected by then.
@@ -64,6 +68,9 @@ BUCKET_BYTES, FLUSH_BYTES, SET_BYTES, BLOCK_BYTES = 4 << 20, 3 << 20, 4 << 20, 4
 #: Members of a signature group that a batch sends on; of a larger group it sends the pivot alone.
 MOST_SENT = 8
 
+#: First-level partitions of a band's scheme that give the few signatures of the first round.
+FEW = 2
+
 #: Rows of a batch, whose places must fit 16 bits.
 BATCH_ROWS = 60_000
 
@@ -133,25 +140,31 @@ def _keys(*parts: bytes) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
 
 
-def signatures(sets: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the set, signature) of features that others share, for sets of ``size`` features in all."""
+def signatures(sets: list[np.ndarray], size: np.ndarray, few: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, signature) of features that others share, for sets of ``size`` features in all.
+
+    With ``few``, one subset of each of the first partitions alone: enough to find most components, not all links.
+    """
     own_band = np.searchsorted(BANDS, size)
     out_doc, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for step in (0, 1):
         for band in np.unique(own_band).tolist():
             who = np.flatnonzero(own_band == band)
-            doc, sig = _of_band([sets[k] for k in who.tolist()], size[who], band + step)
+            doc, sig = _of_band([sets[k] for k in who.tolist()], size[who], band + step, few)
             out_doc.append(who[doc])
             out_sig.append(sig)
     return np.concatenate(out_doc), np.concatenate(out_sig)
 
 
-def _of_band(sets: list[np.ndarray], size: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+def _of_band(sets: list[np.ndarray], size: np.ndarray, band: int, few: bool) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sets under the scheme of one band."""
     first, second, differ = scheme(band)
     count = np.array([len(s) for s in sets], np.int64)
     h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), count)
     part = mix(h ^ _PART)
+    if few:
+        early = part % np.uint64(first) < np.uint64(FEW)
+        h, doc, part = h[early], doc[early], part[early]
     slot = (doc * first + (part % np.uint64(first)).astype(np.int64)) * second + (mix(part) % np.uint64(second)).astype(np.int64)
     acc = np.zeros(len(sets) * first * second, np.uint64)
     np.add.at(acc, slot, mix(h))
@@ -159,13 +172,15 @@ def _of_band(sets: list[np.ndarray], size: np.ndarray, band: int) -> tuple[np.nd
     filled = np.bincount(slot, minlength=acc.size).reshape(-1, second) > 0
     place = np.tile(np.arange(first, dtype=np.uint64), len(sets))
     out_doc, out_sig = [], []
-    for number, chosen in enumerate(_subsets(second, differ)):
+    for number, chosen in enumerate(_subsets(second, differ)[: 1 if few else None]):
         at = np.flatnonzero(filled[:, chosen].any(1))
         sig = fold(place[at], np.full(len(at), np.uint64(band << 8 | number)))
         for column in chosen:
             sig = fold(sig, acc[at, column])
         out_doc.append(at // first)
         out_sig.append(sig)
+    if few:
+        return np.concatenate(out_doc), np.concatenate(out_sig)
     # partitions whose every subset is filled, against the most that a partner in this band can differ in
     useful = (filled.sum(1) > differ).reshape(len(sets), first).sum(1)
     most = (size + np.minimum(BANDS[band], size * 4 // 3)) // 7 - (size - count)
@@ -180,8 +195,8 @@ def _of_band(sets: list[np.ndarray], size: np.ndarray, band: int) -> tuple[np.nd
 EXCHANGE = "bucket int, key binary, doc_id long, text_hash long, n long, batch long, entries binary, keys binary"
 FOUND = "key binary, doc_id long, text_hash long, n long, batch long, entries binary, keys binary"
 SHARED = "key binary, n long, c long, feats binary"
-STARS = "pivot binary, key binary, far boolean"
-ASKED = "bucket int, pivot binary, key binary, entries binary, keys binary, counts binary"
+STARS = "pivot binary, key binary, members binary, mixed boolean"
+ASKED = "bucket int, pivot binary, members binary, mixed boolean, entries binary, keys binary, counts binary, comps binary"
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
@@ -301,63 +316,78 @@ def _order(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return np.lexsort((keys[:, 1], keys[:, 0], (size - shared) / size))
 
 
-def _ask(n: int):
-    """Signatures of a batch of sets, with their members; of a large group, its pivot alone, and the others as pairs with that."""
+def _ask(n: int, few: bool):
+    """Signatures of a batch of labelled sets, with their members.
+
+    Of a large group only its pivot is sent, with one member of another
+    component if there is any. The others go with the pivot of the batch, in
+    one row for all of its groups of several components and in one for the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _schema(ASKED)
-        for salt, (raw_keys, raw_feats) in enumerate(_texts(batches, 0, 3, flush=SET_BYTES, rows=BATCH_ROWS)):
+        for salt, (raw_keys, comps, raw_feats) in enumerate(_texts(batches, 0, 4, 3, flush=SET_BYTES, rows=BATCH_ROWS)):
             keys = _keys(*raw_keys)
             sets = [np.frombuffer(x, np.uint64) for x in raw_feats]
             count = np.array([len(s) for s in sets], np.int64)
             rank = np.empty(len(sets), np.uint64)
             rank[order := _order(keys, count)] = np.arange(len(sets), dtype=np.uint64)
-            doc, sig = signatures(sets, sizes_of(keys))
-            e = (sig >> _S16) << _S16 | rank[doc]
-            e = np.unique(e)
+            doc, sig = signatures(sets, sizes_of(keys), few)
+            e = np.unique((sig >> _S16) << _S16 | rank[doc])
+            keys, count, comp = keys[order], count[order].astype(np.uint32), np.array(comps, np.int64)[order]
+            owner = (e & _OWNER).astype(np.int64)
             new = _starts(e >> _S16)
-            count_of = np.diff([*np.flatnonzero(new), len(e)])
-            large = np.repeat(count_of > MOST_SENT, count_of)
-            pivot = np.repeat(e[new] & _OWNER, count_of)
-            pairs = np.unique((pivot << _S16 | (e & _OWNER))[large & ~new]).astype(np.int64)
-            keys, count = keys[order], count[order].astype(np.uint32)
-            text = [x.tobytes() for x in keys]
-            rows = [((salt + k) % n, text[p >> 16], text[p & 0xFFFF], None, None, None) for k, p in enumerate(pairs.tolist())]
-            for bucket, entries in _dealt(e[new | ~large], n):
+            group = np.cumsum(new) - 1
+            large = (np.bincount(group, minlength=1) > MOST_SENT)[group]
+            pivot = owner[new][group]
+            other = comp[owner] != comp[pivot]
+            mixed = (np.bincount(group, other, minlength=1) > 0)[group]
+            at = np.flatnonzero(other)
+            witness = np.zeros(len(e), bool)
+            witness[at[_starts(group[at])] if len(at) else at] = True
+            rows: list[tuple] = []
+            near = np.unique((pivot << 17 | mixed.astype(np.int64) << 16 | owner)[large & ~new])
+            for a, b in _cut(near >> 16) if len(near) else ():
+                p = int(near[a]) >> 17
+                rows.append(((salt + p) % n, keys[p].tobytes(), keys[near[a:b] & 0xFFFF].tobytes(), bool(near[a] >> 16 & 1), None, None, None, None))
+            for bucket, entries in _dealt(e[new | ~large | witness], n):
                 here, local = np.unique((entries & _OWNER).astype(np.int64), return_inverse=True)
-                rows.append((bucket, None, None, ((entries >> _S16) << _S16 | local.astype(np.uint64)).tobytes(), keys[here].tobytes(), count[here].tobytes()))
+                rows.append((bucket, None, None, None, ((entries >> _S16) << _S16 | local.astype(np.uint64)).tobytes(), keys[here].tobytes(), count[here].tobytes(), comp[here].tobytes()))
             yield _arrow(rows, schema)
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of the pivots of batches with the pivot over all (far); pairs within batches pass."""
+    """Pairs of members with the pivot over all, in groups of several components; what batches hold of their pivots passes."""
     rows: list[tuple] = []
-    keys, values, owners, counts, seen = [], [], [], [], 0
+    keys, values, owners, counts, comps, seen = [], [], [], [], [], 0
     for r in table.to_pylist():
         if r["pivot"] is not None:
-            rows.append((r["pivot"], r["key"], False))
+            rows.append((r["pivot"], None, r["members"], r["mixed"]))
             continue
         e = np.frombuffer(r["entries"], np.uint64)
         values.append(e >> _S16)
         owners.append((e & _OWNER).astype(np.int64) + seen)
         keys.append(r["keys"])
         counts.append(np.frombuffer(r["counts"], np.uint32))
+        comps.append(np.frombuffer(r["comps"], np.int64))
         seen += len(counts[-1])
     if keys:
-        key, value, owner = _keys(*keys), np.concatenate(values), np.concatenate(owners)
+        key, comp, value, owner = _keys(*keys), np.concatenate(comps), np.concatenate(values), np.concatenate(owners)
         order = _order(key, np.concatenate(counts))
         rank = np.empty(len(key), np.int64)
         rank[order] = np.arange(len(key))
-        owner = rank[owner]
+        owner, comp = rank[owner], comp[order]
         by = np.lexsort((owner, value))
         value, owner = value[by], owner[by]
         new = _starts(value)
-        pivot = np.repeat(owner[new], np.diff([*np.flatnonzero(new), len(value)]))
-        pairs = np.unique((pivot << 32 | owner)[~new])
+        group = np.cumsum(new) - 1
+        pivot = owner[new][group]
+        mixed = (np.bincount(group, comp[owner] != comp[pivot], minlength=1) > 0)[group]
+        pairs = np.unique((pivot << 32 | owner)[~new & mixed])
         text = [x.tobytes() for x in key[order]]
-        rows += [(text[p >> 32], text[p & 0xFFFFFFFF], True) for p in pairs.tolist() if text[p >> 32] != text[p & 0xFFFFFFFF]]
+        rows += [(text[p >> 32], text[p & 0xFFFFFFFF], None, None) for p in pairs.tolist() if text[p >> 32] != text[p & 0xFFFFFFFF]]
     return pa.Table.from_batches([_arrow(rows, _schema(STARS))])
 
 
@@ -376,13 +406,51 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow(rows, schema)
 
 
-def star_pairs(sets: DataFrame, n: int) -> DataFrame:
-    """(pivot, key): every set with the pivots of its signature groups."""
-    met = stored(sets.mapInArrow(_ask(n), ASKED).groupBy("bucket").applyInArrow(_meet, STARS))
-    near, far = met.where(~F.col("far")).select("pivot", "key"), met.where("far").select("pivot", "key").distinct()
-    # members of a batch's group belong to the group of that batch's pivot, too
-    carried = near.select(F.col("pivot").alias("via"), F.col("key").alias("member")).join(far.withColumnRenamed("key", "via"), "via").select("pivot", F.col("member").alias("key"))
-    return near.union(far).union(carried).where(F.col("pivot") != F.col("key")).distinct()
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, members packed) to (pivot, key), some thousands of rows at once."""
+    schema = _schema("pivot binary, key binary")
+    for batch in batches:
+        for pivot, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a in range(0, len(members), 16 << 12):
+                part = members[a : a + (16 << 12)]
+                yield _arrow([(pivot, part[k : k + 16]) for k in range(0, len(part), 16)], schema)
+
+
+def star_pairs(labelled: DataFrame, n: int, few: bool = False) -> DataFrame:
+    """(pivot, key): sets with the pivots of their signature groups, where a group holds several components.
+
+    ``labelled`` has rows as `_labels` makes them. With ``few``, a few signatures of each set
+    alone, and the pivots of batches stand for their members.
+    """
+    met = stored(labelled.mapInArrow(_ask(n, few), ASKED).groupBy("bucket").applyInArrow(_meet, STARS))
+    far, near = met.where("key is not null").select("pivot", "key").distinct(), met.where("members is not null").select("pivot", "members", "mixed")
+    sent = near.where("mixed").select("pivot", "members")
+    if not few:
+        # members of a batch's group belong to the group of that batch's pivot, too
+        sent = sent.union(near.where("not mixed").join(far.select("pivot").distinct(), "pivot", "left_semi").select("pivot", "members"))
+        sent = sent.union(near.withColumnRenamed("pivot", "via").join(far.withColumnRenamed("key", "via"), "via").select("pivot", "members"))
+    return far.union(sent.mapInArrow(_unpacked, "pivot binary, key binary")).where(F.col("pivot") != F.col("key")).distinct()
+
+
+def _labels(sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Sets with a hash of their component; without components each is its own."""
+    if roots is None:
+        return sets.select("key", "n", "c", "feats", F.xxhash64("key").alias("comp"))
+    named = sets.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return named.select("key", "n", "c", "feats", F.xxhash64(F.coalesce("root", "key")).alias("comp"))
+
+
+def compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """COMPARED rows of (pivot, key) rows, stored."""
+    one, two = sets.select(F.col("key").alias("pivot"), F.col("feats").alias("fp")), sets.select("key", F.col("feats").alias("fk"))
+    return stored(pairs.join(two, "key").join(one, "pivot").select("pivot", "key", "fp", "fk").mapInArrow(_compared, COMPARED))
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    """LINKS rows of the pairs that are linked."""
+    size = sum((F.conv(F.hex(F.reverse(F.substring(x, 13, 4))), 16, 10).cast("long") for x in ("pivot", "key")), F.lit(0))
+    similarity = (size - F.col("differ")) / (size + F.col("differ"))
+    return compared.where("linked").select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b"), similarity.alias("similarity"))
 
 
 def sketches(feats: list[np.ndarray], bits: int) -> np.ndarray:
@@ -486,12 +554,11 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = found.where("batch is null").select("key", "doc_id", "text_hash", "n")
     sets = found.where("batch is not null").select("batch", "entries", "keys").groupBy("batch").applyInArrow(_gathered, SHARED)
     sets = stored(sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "c", "feats")]))  # copies in several batches have equal rows
-    stars = star_pairs(sets, bucket_count(sets, BUCKET_BYTES, text="feats"))
-    one, two = sets.select(F.col("key").alias("pivot"), F.col("feats").alias("fp")), sets.select("key", F.col("feats").alias("fk"))
-    compared = stored(stars.join(two, "key").join(one, "pivot").select("pivot", "key", "fp", "fk").mapInArrow(_compared, COMPARED))
-    pair = {"a": F.least("pivot", "key"), "b": F.greatest("pivot", "key")}
-    size = sum((F.conv(F.hex(F.reverse(F.substring(x, 13, 4))), 16, 10).cast("long") for x in ("pivot", "key")), F.lit(0))
-    links = compared.where("linked").select(pair["a"].alias("a"), pair["b"].alias("b"), ((size - F.col("differ")) / (size + F.col("differ"))).alias("similarity")).distinct()
+    buckets = bucket_count(sets, BUCKET_BYTES, text="feats")
+    early = compared_pairs(star_pairs(_labels(sets), buckets, few=True), sets)
+    roots = components(_linked(early))
+    compared = compared_pairs(star_pairs(_labels(sets, roots), buckets), sets)
+    links = _linked(early).union(_linked(compared)).distinct()
     roots = components(links)
     more = stored(left_over_links(compared, sets, roots))
     if not more.isEmpty():
