@@ -14,7 +14,9 @@ the feature domain is cut into first-level partitions, so many that a linked
 pair differs in at most K2 features within one of them; that partition is cut
 into second-level ones, and the hash of every subset of these without K2 of
 them is a signature, since the pair agrees on one such subset. A set emits
-signatures for its own band and for the next, where its larger partner may be.
+signatures for its own band and for the next, where its larger partner may be;
+a group without a set of its scheme's own band is not looked at, as its members
+meet in their own band.
 A partition is of use to a set that is spread over more than K2 of its
 second-level parts, so that no subset can be empty; a set with too few of
 those for its bound says so by emitting an ordered prefix of its features too,
@@ -75,7 +77,7 @@ FEW = 2
 BATCH_ROWS = 60_000
 
 _PART, _BIT, _KEY = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
-_S16, _OWNER = np.uint64(16), np.uint64(0xFFFF)
+_S16, _S17, _OWNER, _OWN = np.uint64(16), np.uint64(17), np.uint64(0xFFFF), np.uint64(0x10000)
 
 
 def _bands(most: int = 1 << 40) -> np.ndarray:
@@ -140,20 +142,21 @@ def _keys(*parts: bytes) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
 
 
-def signatures(sets: list[np.ndarray], size: np.ndarray, few: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the set, signature) of features that others share, for sets of ``size`` features in all.
+def signatures(sets: list[np.ndarray], size: np.ndarray, few: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the set, signature, whether of its own band) of features that others share, for sets of ``size`` features in all.
 
     With ``few``, one subset of each of the first partitions alone: enough to find most components, not all links.
     """
     own_band = np.searchsorted(BANDS, size)
-    out_doc, out_sig = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    out_doc, out_sig, out_own = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
     for step in (0, 1):
         for band in np.unique(own_band).tolist():
             who = np.flatnonzero(own_band == band)
             doc, sig = _of_band([sets[k] for k in who.tolist()], size[who], band + step, few)
             out_doc.append(who[doc])
             out_sig.append(sig)
-    return np.concatenate(out_doc), np.concatenate(out_sig)
+            out_own.append(np.full(len(sig), step == 0))
+    return np.concatenate(out_doc), np.concatenate(out_sig), np.concatenate(out_own)
 
 
 def _of_band(sets: list[np.ndarray], size: np.ndarray, band: int, few: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -223,9 +226,9 @@ def _cut(by: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cuts, cuts[1:], strict=False)
 
 
-def _dealt(entries: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, entries) of entries, each a 48-bit value over 16 bits of owner; only buckets that get any."""
-    bucket = ((entries >> _S16) % np.uint64(n)).astype(np.uint16 if n <= 65536 else np.int64)
+def _dealt(entries: np.ndarray, n: int, below: np.uint64 = _S16) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, entries) of entries, each a value over ``below`` bits of others; only buckets that get any."""
+    bucket = ((entries >> below) % np.uint64(n)).astype(np.uint16 if n <= 65536 else np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, entries = bucket[order], entries[order]
     for a, b in _cut(bucket):
@@ -316,12 +319,29 @@ def _order(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return np.lexsort((keys[:, 1], keys[:, 0], (size - shared) / size))
 
 
+def _any(group: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """For each entry, whether any of its group has the flag."""
+    return (np.bincount(group, flag, minlength=1) > 0)[group]
+
+
+def _firsts(group: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """The first entry of each group that has the flag."""
+    out = np.zeros(len(group), bool)
+    at = np.flatnonzero(flag)
+    if len(at):
+        out[at[_starts(group[at])]] = True
+    return out
+
+
 def _ask(n: int, few: bool):
     """Signatures of a batch of labelled sets, with their members.
 
-    Of a large group only its pivot is sent, with one member of another
-    component if there is any. The others go with the pivot of the batch, in
-    one row for all of its groups of several components and in one for the rest.
+    An entry is 47 bits of signature, one that says whether it is of the set's
+    own band (with ``few`` all are taken for that), and 16 bits of owner. Of a
+    large group only its pivot is sent, with one member of another component
+    and one in its own band if there are any. The others go with the pivot of
+    the batch, in one row for all of its groups that are to be looked at
+    anyway and in one for the rest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,59 +352,60 @@ def _ask(n: int, few: bool):
             count = np.array([len(s) for s in sets], np.int64)
             rank = np.empty(len(sets), np.uint64)
             rank[order := _order(keys, count)] = np.arange(len(sets), dtype=np.uint64)
-            doc, sig = signatures(sets, sizes_of(keys), few)
-            e = np.unique((sig >> _S16) << _S16 | rank[doc])
+            doc, sig, own = signatures(sets, sizes_of(keys), few)
+            e = np.unique((sig >> _S17) << _S17 | (own | few).astype(np.uint64) << _S16 | rank[doc])
             keys, count, comp = keys[order], count[order].astype(np.uint32), np.array(comps, np.int64)[order]
-            owner = (e & _OWNER).astype(np.int64)
-            new = _starts(e >> _S16)
+            owner, own = (e & _OWNER).astype(np.int64), (e & _OWN) > 0
+            order = np.lexsort((owner, e >> _S17))
+            e, owner, own = e[order], owner[order], own[order]
+            new = _starts(e >> _S17)
             group = np.cumsum(new) - 1
             large = (np.bincount(group, minlength=1) > MOST_SENT)[group]
             pivot = owner[new][group]
             other = comp[owner] != comp[pivot]
-            mixed = (np.bincount(group, other, minlength=1) > 0)[group]
-            at = np.flatnonzero(other)
-            witness = np.zeros(len(e), bool)
-            witness[at[_starts(group[at])] if len(at) else at] = True
+            mixed = _any(group, other) & _any(group, own)
+            witness = _firsts(group, other) | _firsts(group, own)
             rows: list[tuple] = []
             near = np.unique((pivot << 17 | mixed.astype(np.int64) << 16 | owner)[large & ~new])
             for a, b in _cut(near >> 16) if len(near) else ():
                 p = int(near[a]) >> 17
                 rows.append(((salt + p) % n, keys[p].tobytes(), keys[near[a:b] & 0xFFFF].tobytes(), bool(near[a] >> 16 & 1), None, None, None, None))
-            for bucket, entries in _dealt(e[new | ~large | witness], n):
+            for bucket, entries in _dealt(e[new | ~large | witness], n, _S17):
                 here, local = np.unique((entries & _OWNER).astype(np.int64), return_inverse=True)
-                rows.append((bucket, None, None, None, ((entries >> _S16) << _S16 | local.astype(np.uint64)).tobytes(), keys[here].tobytes(), count[here].tobytes(), comp[here].tobytes()))
+                rows.append((bucket, None, None, None, (entries & ~_OWNER | local.astype(np.uint64)).tobytes(), keys[here].tobytes(), count[here].tobytes(), comp[here].tobytes()))
             yield _arrow(rows, schema)
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of members with the pivot over all, in groups of several components; what batches hold of their pivots passes."""
+    """Pairs of members with the pivot over all, in groups of several components that hold a set of their own band; what batches hold of their pivots passes."""
     rows: list[tuple] = []
-    keys, values, owners, counts, comps, seen = [], [], [], [], [], 0
+    keys, values, owners, owns, counts, comps, seen = [], [], [], [], [], [], 0
     for r in table.to_pylist():
         if r["pivot"] is not None:
             rows.append((r["pivot"], None, r["members"], r["mixed"]))
             continue
         e = np.frombuffer(r["entries"], np.uint64)
-        values.append(e >> _S16)
+        values.append(e >> _S17)
         owners.append((e & _OWNER).astype(np.int64) + seen)
+        owns.append((e & _OWN) > 0)
         keys.append(r["keys"])
         counts.append(np.frombuffer(r["counts"], np.uint32))
         comps.append(np.frombuffer(r["comps"], np.int64))
         seen += len(counts[-1])
     if keys:
-        key, comp, value, owner = _keys(*keys), np.concatenate(comps), np.concatenate(values), np.concatenate(owners)
+        key, comp, value, owner, own = _keys(*keys), *(np.concatenate(x) for x in (comps, values, owners, owns))
         order = _order(key, np.concatenate(counts))
         rank = np.empty(len(key), np.int64)
         rank[order] = np.arange(len(key))
         owner, comp = rank[owner], comp[order]
         by = np.lexsort((owner, value))
-        value, owner = value[by], owner[by]
+        value, owner, own = value[by], owner[by], own[by]
         new = _starts(value)
         group = np.cumsum(new) - 1
         pivot = owner[new][group]
-        mixed = (np.bincount(group, comp[owner] != comp[pivot], minlength=1) > 0)[group]
+        mixed = _any(group, comp[owner] != comp[pivot]) & _any(group, own)
         pairs = np.unique((pivot << 32 | owner)[~new & mixed])
         text = [x.tobytes() for x in key[order]]
         rows += [(text[p >> 32], text[p & 0xFFFFFFFF], None, None) for p in pairs.tolist() if text[p >> 32] != text[p & 0xFFFFFFFF]]

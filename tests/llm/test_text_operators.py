@@ -152,8 +152,9 @@ def test_signatures_meet_for_every_linked_pair():
                 continue
             for own in (a, a & b):  # with all features, and with those alone that the pair shares
                 sets = [np.array(sorted(own), np.uint64), np.array(sorted(b if own is a else own), np.uint64)]
-                doc, sig = jaccard.signatures(sets, np.array([len(a), len(b)]))
-                assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), n
+                doc, sig, own = jaccard.signatures(sets, np.array([len(a), len(b)]))
+                both = set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
+                assert both & set(sig[own].tolist()), n
     assert jaccard.scheme(0) == (1, 1, 0) and jaccard.scheme(20)[1:] == (5, 2)
 
 
