@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bucket_count, fold, mix, prepare, stored, text_bytes
+from .common import BROADCAST_BYTES, WordHashes, bucket_count, fold, mix, plan_bytes, prepare, stored, text_bytes
 from .components import components
 from .substrings import _texts
 
@@ -73,6 +73,9 @@ MOST_SENT = 8
 #: First-level partitions of a band's scheme that give the few signatures of the first round.
 FEW = 2
 
+#: Members that are compared with a pivot in one piece; the pivot's features are sent to each piece.
+PIECE_ROWS = 4096
+
 #: Rows of a batch, whose places must fit 16 bits.
 BATCH_ROWS = 60_000
 
@@ -412,18 +415,23 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_arrow(rows, _schema(STARS))])
 
 
-COMPARED = "pivot binary, key binary, differ long, linked boolean"
+COMPARED = "pivot binary, key binary, differ long, linked boolean, c long"
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pivot, key, pivot's features, key's features to their exact difference."""
+    """pivot, key, features in pieces that begin with the pivot's own row, to exact differences from it, and how many features the key has."""
     schema = _schema(COMPARED)
+    now = np.zeros(0, np.uint64)
     for batch in batches:
         rows = []
-        for a, b, fa, fb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for a, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            feats = np.frombuffer(raw, np.uint64)
+            if a == b:
+                now = feats
+                continue
             na, nb = (int.from_bytes(k[12:], "little") for k in (a, b))
-            both = len(np.intersect1d(np.frombuffer(fa, np.uint64), np.frombuffer(fb, np.uint64), assume_unique=True))
-            rows.append((a, b, na + nb - 2 * both, linked(both, na, nb)))
+            both = len(np.intersect1d(now, feats, assume_unique=True))
+            rows.append((a, b, na + nb - 2 * both, linked(both, na, nb), len(feats)))
         yield _arrow(rows, schema)
 
 
@@ -438,7 +446,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def star_pairs(labelled: DataFrame, n: int, few: bool = False) -> DataFrame:
-    """(pivot, key): sets with the pivots of their signature groups, where a group holds several components.
+    """(pivot, key), stored: sets with the pivots of their signature groups, where a group holds several components.
 
     ``labelled`` has rows as `_labels` makes them. With ``few``, a few signatures of each set
     alone, and the pivots of batches stand for their members.
@@ -450,21 +458,30 @@ def star_pairs(labelled: DataFrame, n: int, few: bool = False) -> DataFrame:
         # members of a batch's group belong to the group of that batch's pivot, too
         sent = sent.union(near.where("not mixed").join(far.select("pivot").distinct(), "pivot", "left_semi").select("pivot", "members"))
         sent = sent.union(near.withColumnRenamed("pivot", "via").join(far.withColumnRenamed("key", "via"), "via").select("pivot", "members"))
-    return far.union(sent.mapInArrow(_unpacked, "pivot binary, key binary")).where(F.col("pivot") != F.col("key")).distinct()
+    return stored(far.union(sent.mapInArrow(_unpacked, "pivot binary, key binary")).where(F.col("pivot") != F.col("key")).distinct())
 
 
 def _labels(sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Sets with a hash of their component; without components each is its own."""
     if roots is None:
         return sets.select("key", "n", "c", "feats", F.xxhash64("key").alias("comp"))
-    named = sets.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    roots = stored(roots.withColumnRenamed("node", "key"))
+    named = sets.join(F.broadcast(roots) if plan_bytes(roots) <= BROADCAST_BYTES else roots, "key", "left")
     return named.select("key", "n", "c", "feats", F.xxhash64(F.coalesce("root", "key")).alias("comp"))
 
 
 def compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """COMPARED rows of (pivot, key) rows, stored."""
-    one, two = sets.select(F.col("key").alias("pivot"), F.col("feats").alias("fp")), sets.select("key", F.col("feats").alias("fk"))
-    return stored(pairs.join(two, "key").join(one, "pivot").select("pivot", "key", "fp", "fk").mapInArrow(_compared, COMPARED))
+    """COMPARED rows of stored (pivot, key) rows, stored.
+
+    Features are joined to rows once: a pivot travels as one more row of each
+    piece of its members, and pieces are bounded, so no pivot is one task's.
+    """
+    pieces = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces"))
+    each = pairs.join(pieces, "pivot").select("pivot", "key", F.pmod(F.xxhash64("key"), "pieces").cast("int").alias("piece"))
+    own = pieces.select("pivot", F.col("pivot").alias("key"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    rows = each.union(own).join(sets.select("key", "feats"), "key").repartition("pivot", "piece")
+    rows = rows.sortWithinPartitions("pivot", "piece", F.col("key") != F.col("pivot"))
+    return stored(rows.select("pivot", "key", "feats").mapInArrow(_compared, COMPARED))
 
 
 def _linked(compared: DataFrame) -> DataFrame:
@@ -543,20 +560,21 @@ def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def left_over_links(compared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Links in groups of which some members are outside the pivot's component."""
-    each = compared.select("pivot", "key", "differ").join(roots.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key", "left")
+    each = compared.select("pivot", "key", "differ", "c").join(roots.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key", "left")
     each = each.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("top")), "pivot", "left")
-    each = each.join(sets.select("key", "c"), "key").withColumn("comp", F.coalesce("comp", "key")).withColumn("outside", F.col("comp") != F.coalesce("top", "pivot"))
+    each = each.withColumn("comp", F.coalesce("comp", "key")).withColumn("outside", F.col("comp") != F.coalesce("top", "pivot"))
     each = stored(each.select("pivot", "key", "differ", "comp", "outside", "c"))
     blocks = lambda size: F.ceil(F.coalesce(size, F.lit(0)) * 8 / BLOCK_BYTES).cast("int")
     lists = each.groupBy("pivot").agg(F.count("*").alias("members"), blocks(F.sum(F.when(F.col("outside"), F.col("c")))).alias("across"), blocks(F.sum("c")).alias("down"))
     lists = lists.where((F.col("members") > 1) & (F.col("across") > 0)).drop("members")
     each = each.join(lists, "pivot").join(sets.select("key", "feats"), "key")
     place = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = [x.split()[0] for x in LISTED.split(", ")]
-    asked = each.where("outside").withColumns({"i": place(1, "across"), "other": F.lit(False)}).withColumn("j", all_of("down"))
-    others = each.withColumns({"j": place(2, "down"), "other": F.lit(True)}).withColumn("i", all_of("across"))
-    rows = asked.select(*columns).union(others.select(*columns)).repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    all_of = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    cell = lambda i, j, other: F.struct(i.alias("i"), j.alias("j"), F.lit(other).alias("other"))
+    others = all_of("across", lambda i: cell(i, place(2, "down"), True))
+    asked = all_of("down", lambda j: cell(place(1, "across"), j, False))
+    rows = each.select("*", F.explode(F.when(F.col("outside"), F.concat(others, asked)).otherwise(others)).alias("cell")).select("*", "cell.*")
+    rows = rows.select(*[x.split()[0] for x in LISTED.split(", ")]).repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     return rows.mapInArrow(_left_over, LINKS)
 
 
