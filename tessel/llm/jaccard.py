@@ -484,9 +484,14 @@ def compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(rows.select("pivot", "key", "feats").mapInArrow(_compared, COMPARED))
 
 
+def _size(key: str) -> F.Column:
+    """The set size that a class key ends with."""
+    return F.conv(F.hex(F.reverse(F.substring(key, 13, 4))), 16, 10).cast("long")
+
+
 def _linked(compared: DataFrame) -> DataFrame:
     """LINKS rows of the pairs that are linked."""
-    size = sum((F.conv(F.hex(F.reverse(F.substring(x, 13, 4))), 16, 10).cast("long") for x in ("pivot", "key")), F.lit(0))
+    size = _size("pivot") + _size("key")
     similarity = (size - F.col("differ")) / (size + F.col("differ"))
     return compared.where("linked").select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b"), similarity.alias("similarity"))
 
@@ -565,9 +570,15 @@ def left_over_links(compared: DataFrame, sets: DataFrame, roots: DataFrame) -> D
     each = each.withColumn("comp", F.coalesce("comp", "key")).withColumn("outside", F.col("comp") != F.coalesce("top", "pivot"))
     each = stored(each.select("pivot", "key", "differ", "comp", "outside", "c"))
     blocks = lambda size: F.ceil(F.coalesce(size, F.lit(0)) * 8 / BLOCK_BYTES).cast("int")
-    lists = each.groupBy("pivot").agg(F.count("*").alias("members"), blocks(F.sum(F.when(F.col("outside"), F.col("c")))).alias("across"), blocks(F.sum("c")).alias("down"))
+    away = lambda x: F.when(F.col("outside"), x)
+    bounds = [f(away(x)).alias(f"{side}_{name}") for name, x in (("n", _size("key")), ("d", F.col("differ"))) for side, f in (("low", F.min), ("high", F.max))]
+    lists = each.groupBy("pivot").agg(F.count("*").alias("members"), blocks(F.sum(F.when(F.col("outside"), F.col("c")))).alias("across"), blocks(F.sum("c")).alias("down"), *bounds)
     lists = lists.where((F.col("members") > 1) & (F.col("across") > 0)).drop("members")
-    each = each.join(lists, "pivot").join(sets.select("key", "feats"), "key")
+    # sizes and differences of any partner of a member outside; members beyond both are left out before features are joined
+    most, n = F.col("high_n") + F.col("n"), F.col("n")
+    near = (4 * n >= 3 * F.col("low_n")) & (3 * n <= 4 * F.col("high_n"))
+    near &= (7 * (F.col("differ") - F.col("high_d")) <= most) & (7 * (F.col("low_d") - F.col("differ")) <= most)
+    each = each.withColumn("n", _size("key")).join(lists, "pivot").where(F.col("outside") | near).join(sets.select("key", "feats"), "key")
     place = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
     all_of = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
     cell = lambda i, j, other: F.struct(i.alias("i"), j.alias("j"), F.lit(other).alias("other"))
