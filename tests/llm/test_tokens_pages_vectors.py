@@ -152,6 +152,55 @@ def test_lines_that_a_host_repeats_are_no_article(spark):
     assert all(got[20 + i] == ["One and", "the same"] for i in range(6))
 
 
+def _lines(spark, pages):
+    df = spark.createDataFrame([(i, "http://roles.example/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"].split("\n") for r in extraction.extract(df).orderBy("page_id").collect()]
+
+
+def test_tokens_are_told_apart_by_their_place_in_a_class(spark):
+    """One line stands in the template of every page and, with the same path, as often as it likes in the article."""
+    pages = [f"<article><h1>Title {n}</h1><p>Staff report</p><h2>Story</h2><p>Words of page {n} that run on for long.</p>{'<p>Staff report</p>' * (n % 3)}<h3>{n}</h3></article>" for n in range(9)]
+    for n, got in enumerate(_lines(spark, pages)):
+        assert got == [f"Title {n}", f"Words of page {n} that run on for long.", *["Staff report"] * (n % 3), str(n)]
+
+
+def test_text_without_a_fixed_order_is_no_template(spark):
+    """Lines that occur once on every page, but in any order, are of no valid class."""
+    orders = [(0, 1, 2, 3), (3, 2, 1, 0), (1, 3, 0, 2), (2, 0, 3, 1)]
+    names = ["<h2>Alpha</h2>", "<h3>Beta</h3>", "<h4>Gamma</h4>", "<h5>Delta</h5>"]
+    pages = [f"<article><h1>Title {n}</h1><div><i>Same line</i></div>{''.join(names[k] for k in orders[n % 4])}<p>Words of page {n} that run on for long, and on and on.</p></article>" for n in range(8)]
+    for n, got in enumerate(_lines(spark, pages)):
+        assert got == [f"Title {n}", *[names[k][4:-5] for k in orders[n % 4]], f"Words of page {n} that run on for long, and on and on."]
+
+
+def test_outer_template_occurs_once_a_page(spark):
+    """A larger class that occurs twice on every page is nested in it; repeated rows do not cancel out."""
+    twice = "<dl><dt><b>Name</b></dt><dd><i>Kind</i><u>Size</u></dd></dl>"
+    pages = [f"<body><div><p>{n}</p></div>{twice}{twice}</body>" for n in range(6)] * 2
+    df = spark.createDataFrame([(i % 6, "http://twice.example/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    got = extraction.templates(df).first()
+    tokens = [extraction.parse(x).tokens for x in pages]
+    assert len(got["outer"]) >= 3 and all(t.count(x) == 1 for t in tokens for x in got["outer"])
+    template = extraction.Template(got["state"])
+    for t in tokens:
+        roles = template.roles(t)
+        assert [r for r in roles if r in set(template.outer)] == template.outer
+    assert [(c[0], c[1], len(c[2])) for c in template.state["classes"]] == [(12, 12, 6), (12, 24, 15)]
+
+
+def test_classes_that_cross_or_nest_in_several_places_are_not_valid():
+    row = {"pages": 0, "reach": 0}
+    classes = [[9, 9, list(range(1, 6))], [9, 18, [11, 12, 13]], [8, 8, [21, 22, 23, 24]]]
+    read = extraction.Classes([x[2] for x in classes])
+    assert read.follow([1, 11, 12, 13, 2, 7, 3, 4, 5])[1:] == ({(0, -1, 0), (1, 0, 0)}, None)
+    assert read.follow([1, 2, 3, 21, 4, 22, 23, 24, 5])[2] == (0, 2)
+    assert read.unordered([1, 2, 4, 3, 5]) == [(0, 0, 2, False), (0, 1, 2, False), (0, 2, 2, True), (0, 3, 4, True), (0, 4, 4, False)]
+    nest = {**row, "kind": extraction.NEST, "a": 1}
+    assert extraction.mended(classes, [{**nest, "b": 0}]) == classes
+    assert extraction.mended(classes, [{**nest, "b": 0}, {**nest, "b": 1}]) == [classes[0], classes[2]]
+    assert extraction.mended(classes, [{**row, "kind": extraction.CROSS, "a": 0, "b": 2}]) == classes[:2]
+
+
 def test_pages_of_marks_that_never_end_are_read_in_linear_time():
     import time
 
