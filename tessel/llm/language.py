@@ -18,6 +18,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ _EDGE = b"\x02"
 
 
 class WordSlots(dict):
-    """Trigram slots of a lower-cased word, kept for words seen lately."""
+    """What is made of a word, such as its trigram slots, kept for words seen lately."""
 
     def __init__(self, make, most: int = 200_000):
         super().__init__()
@@ -66,6 +67,55 @@ def slots(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(letters[k : k + 3]) % SLOTS for k in range(len(letters) - 2)]
 
 
+class TrigramSlots(dict):
+    """Slots of trigrams, three code points in 63 bits, kept for those seen lately."""
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        got = self[key] = xxhash.xxh3_64_intdigest(chr(key >> 42) + chr(key >> 21 & 0x1FFFFF) + chr(key & 0x1FFFFF)) % SLOTS
+        return got
+
+
+@cache
+def _alpha() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+class AllSlots:
+    """``slots`` of many words at once."""
+
+    def __init__(self):
+        self.alpha = _alpha()
+        self.of_trigram = TrigramSlots()
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of all words, how many each has); words hold no white space, which tells them apart here."""
+        letters = b"\n".join([b"", *words]).decode("utf-8", "replace").lower()
+        x = np.frombuffer(letters.encode("utf-32-le"), np.uint32)
+        gap = x == 10
+        kept = self.alpha[x] | gap
+        x, gap = x[kept], gap[kept]
+        x = np.repeat(x, 1 + gap).astype(np.int64)  # a gap ends a word and begins one
+        at = np.flatnonzero(gap) + np.arange(len(words))
+        x[at], x[at + 1] = 3, 2
+        x = np.append(x[1:], 3)
+        inside = np.flatnonzero((x[:-2] != 3) & (x[1:-1] != 3))
+        count = np.bincount(np.cumsum(x == 2)[inside] - 1, minlength=len(words))
+        key, back = np.unique(x[inside] << 42 | x[inside + 1] << 21 | x[inside + 2], return_inverse=True)
+        return np.fromiter(map(self.of_trigram.__getitem__, key.tolist()), np.int64, len(key))[back], count
+
+
+def _means(table: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Mean row of ``table`` over each run of ``at``; zeros for an empty run."""
+    out = np.zeros((len(count), table.shape[1]))
+    some = np.flatnonzero(count)
+    if len(some):
+        out[some] = np.add.reduceat(table[at], (np.cumsum(count) - count)[some], axis=0) / count[some, None]
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = WordSlots(slots)
     for batch in batches:
@@ -109,29 +159,41 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
         scores = np.empty((most, langs))
         has = np.empty(most)
 
-        def make(word: bytes) -> int:
-            k = len(held)
-            got = slots(word)
-            has[k] = bool(got)
-            scores[k] = table[got].mean(0) if got else 0.0
-            return k
+        fresh: list[bytes] = []  # words whose scores are not made yet, the last of ``held``
 
-        held = WordSlots(make, most)
+        def make(word: bytes) -> int:
+            fresh.append(word)
+            return len(held)
+
+        def settle() -> None:
+            """Scores of fresh words, then the sums that wait for them."""
+            first = len(held) - len(fresh)
+            for a in range(0, len(fresh), 4000):
+                at, count = every.of(fresh[a : a + 4000])
+                here = slice(first + a, first + a + len(count))
+                has[here], scores[here] = count > 0, _means(table, at, count)
+            fresh.clear()
+            for k, at in waiting:
+                total[k] += scores[at].sum(0)
+                n[k] += int(has[at].sum())
+            waiting.clear()
+
+        held, every = WordSlots(make, most), AllSlots()
+        waiting: list[tuple[int, np.ndarray]] = []
         for batch in batches:
-            like, count = [], []
-            for raw in batch.column(4).to_pylist():
+            raws = batch.column(4).to_pylist()
+            total, n = np.zeros((len(raws), langs)), [0] * len(raws)
+            for k, raw in enumerate(raws):
                 words = raw.split()
-                total, n = np.zeros(langs), 0
                 for a in range(0, len(words), most // 2):
                     part = words[a : a + most // 2]
                     if len(held) + len(part) > most:
+                        settle()
                         held.clear()
-                    at = np.fromiter(map(held.__getitem__, part), np.int64, len(part))
-                    total += scores[at].sum(0)
-                    n += int(has[at].sum())
-                count.append(n)
-                like.append((total / n * min(n, MOST_WORDS)).tolist() if n else [0.0] * langs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(count, pa.int64()), pa.array(like, pa.list_(pa.float64()))], ["id", "host", "suffix", "declared", "n_words", "like"])
+                    waiting.append((k, np.fromiter(map(held.__getitem__, part), np.int64, len(part))))
+            settle()
+            like = [(t / m * min(m, MOST_WORDS)).tolist() if m else [0.0] * langs for t, m in zip(total, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(like, pa.list_(pa.float64()))], ["id", "host", "suffix", "declared", "n_words", "like"])
 
     kept = rows.select("id", "host", "suffix", "declared", text_bytes())
     return stored(kept.mapInArrow(run, kept.drop("text").schema.add("n_words", "long").add("like", T.ArrayType(T.DoubleType()))))

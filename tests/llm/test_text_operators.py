@@ -1,6 +1,7 @@
 """Operators on documents against brute force in plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -352,6 +353,21 @@ def test_language_by_text_host_and_declaration(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_slots_of_many_words_are_those_of_each():
+    rng = random.Random(8)
+    letters = "abcdeABÉßİΣσς日語ⅷ😀é0-9.,'_\x00\x02\x03\x1c\u2028"
+    words = [b"", b"...", b"a", b"\xff", b"\xe2\x82", b"ok\xe2\x82", "ΑΣ".encode(), "ΑΣ.Α".encode(), b"42"]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))).encode() for _ in range(3000)]
+    at, count = language.AllSlots().of(words)
+    table = np.random.default_rng(1).random((language.SLOTS, 3))
+    means, end = language._means(table, at, count), np.cumsum(count)
+    for k, w in enumerate(words):
+        want = language.slots(w)
+        assert at[end[k] - count[k] : end[k]].tolist() == want, w
+        assert np.allclose(means[k], table[want].mean(0) if want else 0.0)
+    assert [len(x) for x in language.AllSlots().of([])] == [0, 0] and language.AllSlots().of([b"1", b""])[1].tolist() == [0, 0]
+
+
 def test_languages_are_not_capped_and_rare_ones_are_sampled(spark):
     import random
 
