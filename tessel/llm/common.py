@@ -67,6 +67,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` stored like ``stored``, in as many buckets of ``key`` as shuffles have partitions.
+
+    Joins on ``key`` send the other side to the buckets and leave these rows
+    where they are. The name that the buckets are read by is taken back by
+    ``forget``; the files stay.
+    """
+    spark = df.sparkSession
+    name = f"tessel_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessel/{name}"
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    out = spark.table(name)
+    out._tessel_name = name
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Take back the name of rows that were stored by key and are not read any more."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._tessel_name}")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a frame's bytes; it runs no job."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WordHashes, bucket_count, fold, mix, plan_bytes, prepare, stored, text_bytes
+from .common import BROADCAST_BYTES, WordHashes, bucket_count, fold, forget, mix, plan_bytes, prepare, stored, stored_by_key, text_bytes
 from .components import components
 from .substrings import _texts
 
@@ -603,7 +603,7 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(source.mapInArrow(_scan(n), EXCHANGE).groupBy("bucket").applyInArrow(_shared, FOUND))
     rows = found.where("batch is null").select("key", "doc_id", "text_hash", "n")
     sets = found.where("batch is not null").select("batch", "entries", "keys").groupBy("batch").applyInArrow(_gathered, SHARED)
-    sets = stored(sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "c", "feats")]))  # copies in several batches have equal rows
+    sets = stored_by_key(sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "c", "feats")]), "key")  # copies in several batches have equal rows
     buckets = bucket_count(sets, BUCKET_BYTES, text="feats")
     early = compared_pairs(star_pairs(_labels(sets), buckets, few=True), sets)
     roots = components(_linked(early))
@@ -614,6 +614,7 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
+    forget(sets)
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     named = stored(classes.join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"), "rep"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

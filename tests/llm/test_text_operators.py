@@ -111,6 +111,27 @@ def test_jaccard_join_of_a_large_group_over_two_size_bands(spark):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == _components(rows)
 
 
+def test_sets_stay_where_they_are_when_features_are_joined(spark, corpus_df, monkeypatch):
+    """Sets are dealt by key once; joins send only the keys, and the name that they are read by is taken back."""
+    plans, compare = [], jaccard.compared_pairs
+
+    def watched(pairs, sets):
+        joined = pairs.join(sets.select("key", "feats"), "key")
+        plans.append(joined._jdf.queryExecution().executedPlan().toString())
+        return compare(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "compared_pairs", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, _ = jaccard.similar_groups(corpus_df)
+        assert out.count() == corpus_df.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and p.count("Exchange hashpartitioning") == 1 for p in plans)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tessel_")]
+
+
 def test_components_against_plain_python(spark):
     import random
 
