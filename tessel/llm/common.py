@@ -7,10 +7,14 @@ space bytes and ``bytes.lower()`` lowers exactly A-Z.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +92,40 @@ def forget(df: DataFrame) -> None:
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._tessel_name}")
 
 
+def release() -> None:
+    """Give memory that is free within this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
+def released(run):
+    """``run`` for a Python worker that keeps no free memory afterwards.
+
+    Workers live on from task to task, and each would keep the pages of the
+    largest task it ever had. ``run`` makes batches, or a table of a group.
+    """
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def held(batches):
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+    else:
+
+        @functools.wraps(run)
+        def held(table):
+            out = run(table)
+            release()
+            return out
+
+    return held
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a frame's bytes; it runs no job."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WordHashes, bucket_count, fold, forget, mix, plan_bytes, prepare, stored, stored_by_key, text_bytes
+from .common import BROADCAST_BYTES, WordHashes, bucket_count, fold, forget, mix, plan_bytes, prepare, released, stored, stored_by_key, text_bytes
 from .components import components
 from .substrings import _texts
 
@@ -272,9 +272,10 @@ def _scan(n: int):
                     rows.append((bucket, None, None, None, None, name, entries.tobytes(), None))
             yield _arrow(rows, schema)
 
-    return run
+    return released(run)
 
 
+@released
 def _shared(table: pa.Table) -> pa.Table:
     """One bucket of features to those that two classes hold, packed by batch; rows about documents and batches pass."""
     schema = _schema(FOUND)
@@ -300,6 +301,7 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.concat_tables([rest.cast(schema), pa.Table.from_batches([_arrow(rows, schema)])])
 
 
+@released
 def _gathered(table: pa.Table) -> pa.Table:
     """The classes of one batch of which three quarters are shared, with the features that are."""
     key = _keys(next(x for x in table["keys"].to_pylist() if x is not None))
@@ -378,9 +380,10 @@ def _ask(n: int, few: bool):
                 rows.append((bucket, None, None, None, (entries & ~_OWNER | local.astype(np.uint64)).tobytes(), keys[here].tobytes(), count[here].tobytes(), comp[here].tobytes()))
             yield _arrow(rows, schema)
 
-    return run
+    return released(run)
 
 
+@released
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs of members with the pivot over all, in groups of several components that hold a set of their own band; what batches hold of their pivots passes."""
     rows: list[tuple] = []
@@ -418,6 +421,7 @@ def _meet(table: pa.Table) -> pa.Table:
 COMPARED = "pivot binary, key binary, differ long, linked boolean, c long"
 
 
+@released
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """pivot, key, features in pieces that begin with the pivot's own row, to exact differences from it, and how many features the key has."""
     schema = _schema(COMPARED)
@@ -548,6 +552,7 @@ def _block_links(rows: list[tuple]) -> list[tuple]:
     return out
 
 
+@released
 def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """LISTED rows, sorted by block, to the links of each block."""
     schema = _schema(LINKS)

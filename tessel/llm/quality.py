@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MUL, mix, prepare, text_bytes
+from .common import _MUL, mix, prepare, released, text_bytes
 
 #: Bound of the labelled sample that the list is learned from.
 MAX_LABELLED = 20_000
@@ -109,7 +109,7 @@ def with_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
             table = np.array([text_counts(x) for x in batch.column(batch.num_columns - 1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(table[:, i]) for i in range(len(COUNTS)))], [*kept, *COUNTS])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], text_bytes().alias("__raw")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], text_bytes().alias("__raw")).mapInArrow(released(run), schema)
 
 
 def feature(name: str) -> F.Column:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bucket_count, fold, mix, prepare, text_bytes
+from .common import WordHashes, bucket_count, fold, mix, prepare, released, text_bytes
 
 WINDOW = 50
 
@@ -45,9 +45,9 @@ class Words:
     """The words of several documents as one array of hashes."""
 
     def __init__(self, hashes: WordHashes, raws: list[bytes]):
-        self.split = [x.split() for x in raws]
-        self.counts = np.array([len(w) for w in self.split], np.int64)
-        self.h = np.concatenate([hashes.of(w) for w in self.split]) if raws else np.zeros(0, np.uint64)
+        each = [hashes.of(x.split()) for x in raws]  # words of one document at a time
+        self.counts = np.array([len(h) for h in each], np.int64)
+        self.h = np.concatenate(each) if raws else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(raws)), self.counts)
         self.start = np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.pos = np.arange(len(self.h)) - self.start
@@ -161,9 +161,10 @@ def _send_anchors(n: int, window: int):
             rows = [(b, a, k, d, None) for b, a, k, d in _rows(bucket, n, [h[one], known.astype(np.uint8), doc[one]])]
             yield _batch(rows + _own(_marks(doc[own], h[own]), n, salt))
 
-    return run
+    return released(run)
 
 
+@released
 def _meet_anchors(table: pa.Table) -> pa.Table:
     """Which documents hold an anchor that another document holds too."""
     a, b, doc, pos = (table.column(c).to_pylist() for c in ("a", "b", "doc", "pos"))
@@ -215,9 +216,10 @@ def _send_windows(n: int, window: int):
             rows = _rows(bucket, n, [w1[ask], w2[ask], doc[ask], pos[ask]])
             yield _batch(rows + _own(_marks(doc[own], pos[own]), n, salt))
 
-    return run
+    return released(run)
 
 
+@released
 def _meet_windows(table: pa.Table) -> pa.Table:
     """Places of windows that a document with a smaller id holds."""
     a, b, doc, pos = (table.column(c).to_pylist() for c in ("a", "b", "doc", "pos"))
@@ -245,7 +247,7 @@ def _zipped(docs: DataFrame, columns: list[str]) -> DataFrame:
             packed = pa.array([squeeze.compress(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*columns, "__id", "__zip"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("__id"), text_bytes().alias("__zip")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("__id"), text_bytes().alias("__zip")).mapInArrow(released(run), schema)
 
 
 def _cut(columns: list[str], window: int, keep_text: bool):
@@ -273,7 +275,7 @@ def _cut(columns: list[str], window: int, keep_text: bool):
             texts = [pa.array(whole, pa.binary()).cast(pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *texts, kept, pa.array(longs, pa.int64()), pa.array(gone, pa.int64())], [*columns, *["text"] * keep_text, "kept_text", "n_words", "n_removed"])
 
-    return run
+    return released(run)
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:

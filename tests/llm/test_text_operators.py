@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -414,3 +417,37 @@ def test_digest_of_removed_document_is_that_of_empty_text(spark):
     df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
     got = substrings.deduplicate(df).where("doc_id = 2").select(F.sha2("kept_text", 256).alias("h")).first()["h"]
     assert got == hashlib.sha256(b"").hexdigest()
+
+
+def test_workers_keep_no_free_memory_between_tasks():
+    code = """
+import ctypes
+import random
+import re
+import subprocess
+import sys
+from pathlib import Path
+
+import pyarrow as pa
+
+from tessel.llm import jaccard, substrings
+
+
+def kept():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+
+rng = random.Random(3)
+words = [str(rng.getrandbits(40)) for _ in range(60_000)]
+texts = [" ".join(rng.choices(words, k=400)).encode() for _ in range(4_000)]
+ids, texts = pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())
+for run, columns in ((substrings._send_anchors(12, 50), [ids, texts]), (jaccard._scan(12), [ids, ids, texts])) * 2:
+    whole = pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
+    assert sum(b.num_rows for b in run(iter(whole.slice(k, 1000) for k in range(0, len(ids), 1000))))
+before = kept()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(before - kept())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 15, out.stdout
